@@ -126,5 +126,5 @@ def _typed(f: Callable, name: str) -> Callable:
 
 def long_key(c: Column) -> Column:
     """A string that sorts as a long does, null first."""
-    shifted = c.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")
-    return F.coalesce(F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0"), F.lit(""))
+    shifted = c.cast("decimal(20,0)") + F.expr(f"{2**63}BD")
+    return F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit(""))

@@ -1,0 +1,80 @@
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cubeline.llm import feature_digest as D
+
+
+def sums_by_hand(data: bytes):
+    return [sum(round(1000 * c * math.log2(c)) for c in Counter(data[i : i + 64]).values()) for i in range(len(data) - 63)]
+
+
+@pytest.mark.parametrize("n", [10, 63, 64, 65, 300, 20_000])
+def test_window_sums(n):
+    rng = random.Random(n)
+    data = bytes(rng.choice(b"abcdeffff \n") if rng.random() < 0.9 else rng.randrange(256) for _ in range(n))
+    assert D.window_sums(np.frombuffer(data, np.uint8)).tolist() == sums_by_hand(data)
+
+
+def chosen_by_hand(data: bytes):
+    rank = D.ranks(np.array(sums_by_hand(data))).tolist()
+    points = Counter()
+    for i in range(len(rank) - 63):
+        points[min(range(i, i + 64), key=lambda p: (rank[p], p))] += 1
+    picked = sorted(p for p, n in points.items() if n >= D.POINTS and rank[p] < 9000)
+    return picked or [min(range(len(rank)), key=lambda p: (rank[p], p))]
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 9))) for _ in range(n))
+
+
+def test_features_by_hand_and_alone():
+    rng = random.Random(4)
+    texts = [words(rng, 200), "", words(rng, 12), "short", "a" * 500, words(rng, 900)]
+    raw = [t.encode() for t in texts]
+    doc, value = D.features(raw)
+    for k, t in enumerate(raw):
+        alone = D.features([t])[1].tolist()
+        assert value[doc == k].tolist() == alone  # neighbours in the batch don't matter
+        if len(t) >= 64:
+            h = D._hashes(np.frombuffer(t, np.uint8), np.array(chosen_by_hand(t))).tolist()
+            assert alone == list(dict.fromkeys(h))
+
+
+def test_likeness():
+    rng = random.Random(6)
+    a, b = words(rng, 4000), words(rng, 4000)
+    fa, fb, fe, empty, fc = D.filters([a.encode(), b.encode(), D.edited(a, b).encode(), b"", a.encode()])
+    assert len(fa) > 1 and D.likeness(fa, fc) == 1.0 and (fa == fc).all()
+    assert D.likeness(fa, fe) > 0.6 > 0.1 > D.likeness(fa, fb)
+    assert D.likeness(empty, empty) == 1.0 and D.likeness(fa, empty) == 0.0
+    assert (D.from_string(D.to_string(fa)) == fa).all()
+    assert D.edited("abcdefgh", "xyz") == "abcdefxy" and D.edited("abc", "x") == "abc" and D.edited("abcdefgh", "x") == "abcdefx"
+
+
+def test_against_plain_order(spark):
+    rng = random.Random(8)
+    rows = [(i * 3, words(rng, rng.randint(0, 60)), "x") for i in range(60)] + [(None, "no id", "x"), (9, "twice", "x"), (9, "twice", "x"), (30, None, "x"), (31, words(rng, 30_000), "x")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
+    order = [(i, t or "") for i, t, _ in sorted(rows, key=key)]
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        e = D.edited(t, nxt)
+        f, g, h = D.filters([t.encode(), e.encode(), nxt.encode()])
+        want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), D.to_string(f), D.to_string(g), D.likeness(f, g), D.likeness(f, h)))
+    got = [(str(r[0]), *r[1:]) for r in D.digests(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_one_and_none(spark):
+    df = spark.createDataFrame([(1, "only one text here, of some length")], "doc_id long, text string")
+    (r,) = D.digests(df).collect()
+    assert r.near_next == 1.0
+    assert D.digests(df.limit(0)).count() == 0
