@@ -4,19 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeline.llm import simhash
+from cubeline.llm import feature_digest, html_diff, mpeg_audio, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call starts a cache of its own, so its figures are those of a cold cache."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.features(mpeg_audio.media(_table(spark, sf_dir, "documents")))
+
+
+def op5_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_digest.digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted")
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train_from(docs))
+
+
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_mpeg_audio": op2_mpeg_audio,
+    "op5_feature_digest": op5_feature_digest,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_components": op8_simhash_components,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_page_differencing": op10_page_differencing,
 }
 
 #: None of these can be put in SQL that ends on whole tables, save where an entry stands here.
