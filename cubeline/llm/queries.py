@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cubeline.llm import feature_digest, html_diff, mpeg_audio, secrets, simhash, token_counts, toxicity
+from cubeline.llm import feature_digest, html_diff, mpeg_audio, packing, revisit, secrets, simhash, sp_viterbi, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,81 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.features(mpeg_audio.media(_table(spark, sf_dir, "documents")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_tokens())
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """An archive made from pages: each page's response, and a revisit of it under another spelling of its URL.
+
+    Times follow from page_id, bodies and entity tags from the html.  By the first digit of the
+    body's digest, some revisits carry another tag (0), stand before their response (1) or have
+    no tag (2).
+    """
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    p = p.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("d"), F.octet_length("html").alias("n"), (F.lit(1_704_067_200) + F.col("page_id") * 37).alias("t"))
+    digit, number, none = F.substring("d", 1, 1), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(None).cast("string")
+    quoted = F.concat(F.lit('"'), F.col("d"), F.lit('"'))
+    later = F.timestamp_seconds(F.col("t") + F.when(digit == "1", -21_600).otherwise(21_600))
+    response = p.select(
+        F.concat(F.lit("r"), number).alias("record_id"), "url", F.timestamp_seconds("t").alias("ts"), F.lit("response").alias("type"), quoted.alias("etag"), none.alias("last_modified"), none.alias("digest"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), quoted, F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.col("n").cast("string")).alias("headers"),
+    )
+    again = p.select(
+        F.concat(F.lit("v"), number).alias("record_id"), F.concat(F.regexp_replace("url", "^https?://", "HTTP://WWW."), F.lit("#again")).alias("url"), later.alias("ts"), F.lit("revisit").alias("type"),
+        F.when(digit == "0", '"changed"').when(digit != "2", F.concat(F.lit("W/"), quoted)).alias("etag"), none.alias("last_modified"), none.alias("digest"),
+        F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Content-Length"), F.lit("0"), F.lit("X-Cache"), F.lit("hit")).alias("headers"),
+    )
+    return response.unionByName(again)
+
+
+def op4_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = revisit.resolve(page_records(_table(spark, sf_dir, "pages")))
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return r.select(
+        F.substring("record_id", 2, 99).cast("long").alias("page_id"), "record_id", "url_key", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "response_id",
+        F.col("response_ts").cast("timestamp_ntz").alias("response_ts"), flat.alias("headers"),
+    )
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n, 1704067200 + page_id * 37 AS t,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^[^@]*@', '')), ':(80|443)?$', ''), '\.$', ''), '^www\d*\.', '')
+            || regexp_replace(regexp_extract(regexp_replace(u, '^[^/?]*', ''), '^([^?]*)', 1), '/+$', '') AS base,
+         list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+                               x -> x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref|sid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS kept
+  FROM p
+), k AS (
+  SELECT *, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key, lpad(page_id::VARCHAR, 12, '0') AS num FROM q
+), resp AS (
+  SELECT url_key, 'r' || num AS response_id, t, d, n FROM k
+), rev AS (
+  SELECT page_id, 'v' || num AS record_id, url_key, t + CASE WHEN d[1] = '1' THEN -21600 ELSE 21600 END AS t, CASE WHEN d[1] = '0' THEN 'changed' WHEN d[1] <> '2' THEN d END AS tag FROM k
+), j AS (
+  SELECT rev.*, resp.response_id, resp.t AS rt, resp.d AS rd, resp.n AS rn,
+         CASE WHEN resp.response_id IS NULL THEN 'orphan' WHEN rev.tag IS NULL THEN 'unverified' WHEN rev.tag = resp.d THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM rev ASOF LEFT JOIN resp ON rev.url_key = resp.url_key AND rev.t >= resp.t
+)
+SELECT page_id, record_id, url_key, make_timestamp(t * 1000000) AS ts, status, response_id, make_timestamp(rt * 1000000) AS response_ts,
+       CASE WHEN status IN ('resolved', 'unverified')
+            THEN 'cache-control=max-age=600|content-length=' || rn::VARCHAR || '|content-type=text/html|etag="' || rd || '"|x-cache=hit'
+            ELSE 'Cache-Control=max-age=600|Content-Length=0|X-Cache=hit' END AS headers
+FROM j
+"""
+
+
 def op5_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_digest.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_viterbi.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -53,12 +125,15 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_not_modified_revisits": op4_not_modified_revisits,
     "op5_feature_digest": op5_feature_digest,
+    "op6_sentencepiece_viterbi": op6_sentencepiece_viterbi,
     "op7_toxicity": op7_toxicity,
     "op8_simhash_components": op8_simhash_components,
     "op9_secret_scan": op9_secret_scan,
     "op10_page_differencing": op10_page_differencing,
 }
 
-#: None of these can be put in SQL that ends on whole tables, save where an entry stands here.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be put in SQL that ends on whole tables.
+ORACLE_SQL = {"op4_not_modified_revisits": OP4_SQL}

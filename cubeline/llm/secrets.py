@@ -189,13 +189,22 @@ def hide(text: str, found: list[Span], mark: str = MARK) -> str:
 
 
 def redacted(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with secrets in `text` replaced by a mark; a text without any stays as it is, null too."""
+    """docs, all columns, with secrets in `text` replaced by a mark; a text without any stays as it is, null too.
+
+    Where a text changes, a column n_chars follows it.
+    """
     names = docs.columns
+    size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for b in batches:
             k = names.index(text)
-            new = [None if t is None else hide(t, spans(t, model, threshold)[1]) for t in b.column(k).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(new, pa.string()), *b.columns[k + 1 :]], names)
+            old = b.column(k).to_pylist()
+            new = [None if t is None else hide(t, spans(t, model, threshold)[1]) for t in old]
+            cols = [*b.columns[:k], pa.array(new, pa.string()), *b.columns[k + 1 :]]
+            if size is not None:
+                n = [c if t == u else len(u) for c, t, u in zip(b.column(size).to_pylist(), old, new, strict=True)]
+                cols[size] = pa.array(n, b.column(size).type)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,6 +27,8 @@ share the fingerprint's component.  Columns other than doc_id and text are ignor
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -66,13 +68,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        out = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        texts = b.column("text").to_pylist()
+        out = np.fromiter(map(fingerprint, texts), np.uint64, b.num_rows)
+        digest = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out.view(np.int64)), pa.array(digest, pa.binary())], ["doc_id", "fp", "digest"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a long), digest (MD5 of the text, to tell rows of one doc_id apart)."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long, digest binary")
 
 
 # --- the covering code -------------------------------------------------------------------
@@ -268,12 +272,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _rooted(prints: DataFrame, hot: int) -> DataFrame:
+    """fp, least (doc_id), root: one row for each fingerprint."""
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    forest = components(links(classes.select("fp"), hot))
+    return classes.join(forest.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that is reachable)."""
     prints = stage(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    forest = components(links(classes.select("fp"), hot))
-    rooted = classes.join(forest.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, hot)
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """docs, all columns, with one row of each component: the least doc_id (null last), then the least MD5 of the text.
+
+    The groups are settled on fingerprints; texts move once, dealt by doc_id, to meet the ids that stay.
+    """
+    prints = stage(fingerprints(docs, doc_id, text), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    of_fp = prints.groupBy("fp").agg(first.alias("first"))
+    rooted = _rooted(prints, hot).join(of_fp, "fp")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    keyed = docs.withColumn("_md5", F.unhex(F.md5(whole_text(text).cast("binary"))))
+    kept = keyed.join(stay.hint("shuffle_hash"), keyed[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_digest")), "left_semi").drop("_md5")
+    twice = prints.groupBy("doc_id", "digest").count().where("count > 1")
+    # one row repeated as a whole is rare; only then are the texts compared
+    return kept if twice.isEmpty() else kept.dropDuplicates([doc_id, text])

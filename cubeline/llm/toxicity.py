@@ -169,3 +169,16 @@ def scores(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: t
 
     schema = StructType(base.schema.fields[:-1]).add("score", DoubleType()).add("predicted", IntegerType())
     return base.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score 0.5 or more."""
+    names = docs.columns
+
+    def run(batches):
+        score = scorer(model)
+        for b in batches:
+            clean = [score(t or "") < 0.5 for t in b.column(names.index(text)).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

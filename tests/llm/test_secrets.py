@@ -51,7 +51,7 @@ def test_columns(spark):
         r = got[i]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
-    assert got[1].spans == "assign:0:24" and S.scan(df, model).count() == 7
+    assert got[1].spans == "assign:0:23" and S.scan(df, model).count() == 7
     assert S.scan(df.limit(0), S.train_from(df.limit(0))).count() == 0
     clean = {r.doc_id: r.text for r in S.redacted(df, model).collect()}
     assert clean[1] == 'password="[SECRET]"' and clean[2] is None and clean[3] == "" and clean[4] == "[SECRET]"
