@@ -48,7 +48,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), quoted, F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.col("n").cast("string")).alias("headers"),
     )
     again = p.select(
-        F.concat(F.lit("v"), number).alias("record_id"), F.concat(F.regexp_replace("url", "^https?://", "HTTP://WWW."), F.lit("#again")).alias("url"), later.alias("ts"), F.lit("revisit").alias("type"),
+        F.concat(F.lit("v"), number).alias("record_id"), F.concat(F.regexp_replace("url", r"^https?://(www\.)?", "HTTP://WWW."), F.lit("#again")).alias("url"), later.alias("ts"), F.lit("revisit").alias("type"),
         F.when(digit == "0", '"changed"').when(digit != "2", F.concat(F.lit("W/"), quoted)).alias("etag"), none.alias("last_modified"), none.alias("digest"),
         F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Content-Length"), F.lit("0"), F.lit("X-Cache"), F.lit("hit")).alias("headers"),
     )
@@ -73,7 +73,7 @@ WITH p AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^[^@]*@', '')), ':(80|443)?$', ''), '\.$', ''), '^www\d*\.', '')
             || regexp_replace(regexp_extract(regexp_replace(u, '^[^/?]*', ''), '^([^?]*)', 1), '/+$', '') AS base,
          list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
-                               x -> x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref|sid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS kept
+                               lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref|sid|sessionid|phpsessid|jsessionid)(=.*)?$'))) AS kept
   FROM p
 ), k AS (
   SELECT *, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key, lpad(page_id::VARCHAR, 12, '0') AS num FROM q
