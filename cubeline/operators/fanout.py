@@ -63,10 +63,31 @@ def _row(kind: str, field: Column, category: Column, group: Column, leaf: Column
     )
 
 
-def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[str] = METRIC_TYPES, attributions: bool = True, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The metric rows of events: DIMENSIONS and value.  `more` may add rows of the same columns for the events."""
-    kinds = set(kinds)
-    numbers, categories, booleans = _arrays(events)
+def _typed_rows(events: DataFrame, kinds: set[str]) -> list[Column]:
+    """One struct for each metric a declared payload can give; its value is null where an event lacks it."""
+    from cubeline.sources.events import payload_fields
+
+    names = payload_fields(events)
+    types = {f.name: f.dataType for f in events.schema["payload"].dataType.fields}
+    p, no = F.col("payload"), F.lit(None)
+    text = {c: p[c].cast("string") if isinstance(types[c], BooleanType) else p[c] for c in sorted(names["categorical"])}
+    number = {n: p[n].cast("double") for n in sorted(names["numeric"])}
+    out = [_row("COUNT", no, no, no, no, F.lit(1.0))] if "COUNT" in kinds else []
+    if "SUM" in kinds:
+        out += [_row("SUM", F.lit(n), no, no, no, v) for n, v in number.items()]
+    if "CATEGORY" in kinds:
+        out += [_row("CATEGORY", F.lit(c), t, no, no, F.when(t.isNotNull(), 1.0)) for c, t in text.items()]
+    if "BOOLEAN" in kinds:
+        out += [_row("BOOLEAN", F.lit(b), no, no, no, p[b].cast("double")) for b in sorted(names["boolean"])]
+    if "COMPOUND_SUM" in kinds:
+        out += [_row("COMPOUND_SUM", F.lit(n), t, F.lit(c), no, F.when(t.isNotNull(), v)) for n, v in number.items() for c, t in text.items()]
+    if "LEAF_SUM" in kinds:
+        out += [_row("LEAF_SUM", F.lit(n), no, no, F.col("_c"), v) for n, v in number.items()]
+    return out
+
+
+def _variant_rows(kinds: set[str]) -> list[Column]:
+    """Arrays of structs from what a VARIANT holds."""
     no = F.lit(None)
     parts = []
     if "COUNT" in kinds:
@@ -81,13 +102,28 @@ def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[
         parts.append(F.flatten(F.transform("_n", lambda n: F.transform("_c", lambda c: _row("COMPOUND_SUM", n["k"], c["v"], c["k"], no, n["v"])))))
     if "LEAF_SUM" in kinds:
         parts.append(F.transform("_n", lambda n: _row("LEAF_SUM", n["k"], no, no, F.col("_c"), n["v"])))
+    return parts
+
+
+def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[str] = METRIC_TYPES, attributions: bool = True, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The metric rows of events: DIMENSIONS and value.  `more` may add rows of the same columns for the events.
+
+    A declared payload needs no lambdas but for leaf keys: its rows are one array of structs
+    that compiled code builds and unpacks.
+    """
+    kinds = set(kinds)
+    typed = isinstance(events.schema["payload"].dataType, StructType)
+    numbers, categories, booleans = _arrays(events)
+    held = [categories.alias("_c")] if "LEAF_SUM" in kinds or not typed else []
+    held += ["payload"] if typed else [numbers.alias("_n"), booleans.alias("_b")]
+    parts = F.array(*_typed_rows(events, kinds)) if typed else F.concat(*_variant_rows(kinds))
     kind = events.schema["ts"].dataType
     total = F.array(F.struct(F.lit(TOTAL).alias("type"), F.lit(TOTAL).alias("value")))
     who = F.concat(total, F.coalesce("attributions", F.array().cast("array<struct<type:string,value:string>>"))) if attributions else total
+    e = events.select("source_id", "event_type", "ts", who.alias("_a"), *held)
+    e = e.withColumn("_a", F.explode("_a")) if attributions else e.withColumn("_a", F.col("_a")[0])
     out = (
-        events.select("source_id", "event_type", "ts", who.alias("_a"), numbers.alias("_n"), categories.alias("_c"), booleans.alias("_b"))
-        .select("source_id", "event_type", "ts", F.explode("_a").alias("_a"), F.concat(*parts).alias("_m"))
-        .select("source_id", "event_type", "ts", "_a", F.inline("_m"))
+        e.select("source_id", "event_type", "ts", "_a", F.inline(parts)).where("value is not null")
         .select(
             "source_id", "event_type", F.when(F.col("aggregation_type") == "BOOLEAN", F.col("ts")).otherwise(bucket(F.col("ts"), granularity, kind)).alias("ts"), F.lit(granularity).alias("granularity"),
             F.col("_a.type").alias("attribution_type"), F.col("_a.value").alias("attribution_value"), "aggregation_type", "payload_field", "payload_category", "compound_category_key", "leaf_key", "value",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeline.model import FlatGroupsQuery
+from cubeline.operators.rollup import exact_sum
 
 
 def path(levels: list[str]) -> Column:
@@ -21,11 +22,11 @@ def path(levels: list[str]) -> Column:
     return F.filter(F.array(*[F.struct(F.lit(i).alias("lvl"), F.col(f"`{g}`").cast("string").alias("x")) for i, g in enumerate(levels)]), lambda e: e["x"].isNotNull())
 
 
-def nodes(leaves: DataFrame, levels: list[str]) -> DataFrame:
+def nodes(leaves: DataFrame, levels: list[str], scale: int | None = None) -> DataFrame:
     """node (path), value, timestamp, has_children, from leaves with _v and _t: one aggregation of path prefixes."""
     p = leaves.select(path(levels).alias("p"), "_v", "_t").where(F.size("p") > 0)
     each = p.select("p", "_v", "_t", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"))
-    return each.groupBy(F.slice("p", 1, F.col("i")).alias("node")).agg(F.sum("_v").alias("value"), F.max("_t").alias("timestamp"), F.max(F.size("p") > F.col("i")).alias("has_children"))
+    return each.groupBy(F.slice("p", 1, F.col("i")).alias("node")).agg(exact_sum(F.col("_v"), scale).alias("value"), F.max("_t").alias("timestamp"), F.max(F.size("p") > F.col("i")).alias("has_children"))
 
 
 def _at(level: int) -> Column:
@@ -33,13 +34,13 @@ def _at(level: int) -> Column:
     return F.get(F.transform(F.filter("node", lambda e: e["lvl"] == level), lambda e: e["x"]), F.lit(0))
 
 
-def tree(leaves: DataFrame, levels: list[str], q: FlatGroupsQuery) -> DataFrame:
+def tree(leaves: DataFrame, levels: list[str], q: FlatGroupsQuery, scale: int | None = None) -> DataFrame:
     """rank, id, $parent_id (array, null at a root), $group_by, $group_level, $is_group_root, the fields, <metric>, timestamp.
 
     The numbering is a sort of all nodes in one task; nodes are what leaves aggregate to, and
     the answer is read as a whole.
     """
-    n = nodes(leaves, levels)
+    n = nodes(leaves, levels, scale)
     word = (lambda c: c) if q.binary_order else (lambda c: F.collate(c, "UNICODE"))
     # ties in the collation are broken by bytes, then by level, so the order is total
     order = F.transform("node", lambda e: F.struct(word(e["x"]).alias("a"), e["x"].alias("b"), e["lvl"].alias("c")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeline.functions.granularity import ordinal, ordinal_of, ordinals_between, to_ms
-from cubeline.model import CubeDef
+from cubeline.model import METRIC_TYPES, CubeDef
 from cubeline.operators.fanout import DIMENSIONS, accepts, metric_rows
 
 
@@ -34,8 +34,12 @@ def merge(rows: DataFrame, scale: int | None = None) -> DataFrame:
 
 def build(events: DataFrame, cube: CubeDef, scale: int | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The cells of a cube, with the number of their partition."""
-    rows = metric_rows(events.where(accepts(cube)), cube.granularity, more=more)
-    return merge(rows, scale).withColumn("partition_idx", partition_of(cube))
+    e = events.where(accepts(cube))
+    facts = metric_rows(e, cube.granularity, kinds=("BOOLEAN",)).select(*DIMENSIONS, "value")
+    rows = metric_rows(e, cube.granularity, kinds=[k for k in METRIC_TYPES if k != "BOOLEAN"], more=more)
+    added = facts if more is None else facts.unionByName(rows.where("aggregation_type = 'BOOLEAN'").select(*DIMENSIONS, "value"))
+    sums = (rows if more is None else rows.where("aggregation_type <> 'BOOLEAN'")).groupBy(*DIMENSIONS).agg(exact_sum(F.col("value"), scale).alias("value"))
+    return sums.unionByName(added).withColumn("partition_idx", partition_of(cube))
 
 
 def partition_of(cube: CubeDef) -> Column:

@@ -135,6 +135,28 @@ def dataset_rows(events: DataFrame, q: DatasetQuery, storage: str = "minute") ->
     return metric_rows(scoped(events, q, storage), storage, kinds=_SHOWN, attributions=False)
 
 
+def dataset(events: DataFrame, q: DatasetQuery, storage: str = "minute", scale: int | None = None) -> DataFrame:
+    """timestamp, metric_key, value, straight from events with declared payloads.
+
+    Each event gives (number of the metric, category, value) for the metrics asked for; they
+    are summed by number and category, and named only then.
+    """
+    e = scoped(events, q, storage)
+    names = payload_fields(e)
+    asked = {base_field(m) for m in q.metrics if not m.endswith("_count")}
+    take = lambda n: not q.metrics or n in asked
+    made: list[tuple[str, str, Column, Column]] = [("", "_count", F.col("event_type"), F.lit(1.0))]  # prefix, suffix, category, value
+    none = F.lit(None).cast("string")
+    for n in filter(take, names["numeric"]):
+        made.append((f"{n}_sum", "", none, _number(e, n)))
+        made += [(f"{n}_sum_by_{c}_", "", _text(e, c), F.when(_text(e, c).isNotNull(), _number(e, n))) for c in names["categorical"]]
+    made += [(f"{c}_by_", "", _text(e, c), F.when(_text(e, c).isNotNull(), 1.0)) for c in filter(take, names["categorical"])]
+    rows = F.array(*[F.struct(F.lit(i).alias("m"), c.alias("c"), v.alias("value")) for i, (_, _, c, v) in enumerate(made)])
+    sums = e.select(_bucketed(e, q, storage), F.inline(rows)).where("value is not null").groupBy("timestamp", "m", "c").agg(exact_sum(F.col("value"), scale).alias("value"))
+    part = lambda k: F.array(*[F.lit(x[k]) for x in made])[F.col("m")]
+    return sums.select("timestamp", F.concat(part(0), F.coalesce("c", F.lit("")), part(1)).alias("metric_key"), "value")
+
+
 def dataset_long(rows: DataFrame, q: DatasetQuery, storage: str = "minute", scale: int | None = None) -> DataFrame:
     """timestamp, metric_key, value, from scoped metric rows."""
     key = metric_key(F.col("aggregation_type"), F.col("event_type"), F.col("payload_field"), F.col("compound_category_key"), F.col("payload_category"))
@@ -255,7 +277,7 @@ def flat_groups(events: DataFrame, q: FlatGroupsQuery, storage: str = "minute",
     leaf = leaf.groupBy(*levels).agg(exact_sum(F.col("_v"), scale).alias("_v"), F.max("_t").alias("_t"))
     if grains:
         leaf, levels = leaf.withColumn("granularity", F.lit(storage)), ["granularity", *levels]
-    return tree(leaf, levels, q)
+    return tree(leaf, levels, q, scale)
 
 
 def flat_groups_from_rows(rows: DataFrame, q: FlatGroupsQuery, scale: int | None = None) -> DataFrame:
@@ -269,4 +291,4 @@ def flat_groups_from_rows(rows: DataFrame, q: FlatGroupsQuery, scale: int | None
     if q.group_by_granularity:
         cols, levels = [F.col("granularity"), *cols], ["granularity", *levels]
     leaf = r.select(*cols, F.col("value").alias("_v"), F.col("ts").alias("_t")).groupBy(*levels).agg(exact_sum(F.col("_v"), scale).alias("_v"), F.max("_t").alias("_t"))
-    return tree(leaf, levels, q)
+    return tree(leaf, levels, q, scale)
