@@ -17,23 +17,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cubeline.llm import packing, secrets, simhash, toxicity
-from cubeline.llm.common import stage
+from cubeline.llm.common import importable, stage
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.accepted(docs, model)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return simhash.one_of_each(docs)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return secrets.redacted(docs, secrets.train_from(docs))
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return packing.pack(docs, packing.byte_tokens())
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeline.llm import feature_digest, html_diff, mpeg_audio, packing, revisit, secrets, simhash, sp_viterbi, token_counts, toxicity
+from cubeline.llm.common import importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
