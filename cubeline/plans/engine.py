@@ -31,6 +31,20 @@ class Engine:
         self.plugins.register_methods(self)
         self.plugins.action("on_engine_init", self)
 
+    def compute(self, df: DataFrame, spec: dict[str, str]) -> DataFrame:
+        """Computed metrics over any result."""
+        return compute(df, spec)
+
+    def stats(self) -> DataFrame:
+        """cube, n_cells, n_partitions, n_batches of the rollups there are."""
+        out = None
+        for c in self.registry.cubes.values():
+            if self._exists(self.cube_path(c)):
+                n = rollup.read(self.spark, self.cube_path(c)).agg(F.count("*").alias("n_cells"), F.countDistinct("partition_idx").alias("n_partitions"), F.countDistinct("batch").alias("n_batches"))
+                n = n.select(F.lit(c.name).alias("cube"), "*")
+                out = n if out is None else out.unionByName(n)
+        return self.spark.createDataFrame([], "cube string, n_cells long, n_partitions long, n_batches long") if out is None else out
+
     def shutdown(self) -> None:
         self.plugins.action("on_engine_shutdown", self)
 
@@ -234,6 +248,7 @@ class Engine:
             out = part if out is None else out.unionByName(part)
         if out is None:
             raise LookupError(f"report {report} has no rollup")
+        self.plugins.action("after_realtime_metrics_generated", report, out)
         return out
 
     def realtime_report(self, report: str, q: ReportQuery, buffer: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -526,6 +527,67 @@ def cube_routing(s, d):
     return tables.activity(s, d).where(accepts(CubeDef("r", "c", sources=("activity",), events=("purchase", "view")))).select("uuid")
 
 
+# --- the same through streams and the engine ---------------------------------------------------
+
+
+def _work(s: SparkSession, name: str) -> str:
+    """A new folder that the whole cluster shares."""
+    return f"{(s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/cubeline-{name}-{uuid.uuid4().hex}"
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """`events` as a stream of canonical events."""
+    raw = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet")
+    return tables.activity_of(raw)
+
+
+def _drained(stream: DataFrame, mode: str, work: str) -> DataFrame:
+    """What a stream of aggregates comes to once all there is has been read; the last rows by the sink's own batches."""
+    name = "t" + uuid.uuid4().hex
+    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("stream_daily_sum", f"SELECT {at('ts', 'day')} AS timestamp, {exact('value')} AS value FROM events GROUP BY 1")
+def stream_daily_sum(s, d):
+    e = _stream(s, d)
+    sums = e.groupBy(bucket(F.col("ts"), "day", e.schema["ts"].dataType).alias("timestamp")).agg(rollup.exact_sum(F.col("payload.value"), SCALE).alias("value"))
+    return _drained(sums, "complete", _work(s, "sum"))
+
+
+@query("stream_dedupe", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_dedupe(s, d):
+    from cubeline.streaming.ingest import deduped
+
+    e = _stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = e.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _drained(deduped(twice, "60 days").select("event_type"), "append", _work(s, "dedupe")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_every_tenth", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) // 10 AS triggers FROM events GROUP BY 1 HAVING count(*) >= 10")
+def stream_every_tenth(s, d):
+    fired = realtime.every_nth_stream(_stream(s, d), realtime.owner_of("user"))
+    return _drained(fired, "append", _work(s, "tenth")).groupBy("key").agg(F.count("*").alias("triggers"))
+
+
+@query("stream_ingest_report", f"SELECT {at('ts', 'day')} AS timestamp, band AS category, {exact('value')} AS value FROM (SELECT *, CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'mid' ELSE 'high' END AS band FROM events) GROUP BY ALL")
+def stream_ingest_report(s, d):
+    """A stream through the engine into a rollup, and a report from that."""
+    from cubeline.model import EventSource, Report
+    from cubeline.plans.engine import Engine
+    from cubeline.streaming.ingest import ingest
+
+    work = _work(s, "ingest")
+    engine = Engine(s, work, scale=SCALE)
+    engine.registry.create_source(EventSource("activity"))
+    for kind in ("signup", "purchase", "view", "click", "error"):
+        engine.registry.create_event_type("activity", kind)
+    engine.registry.create_report(Report("r"))
+    engine.registry.create_cube(CubeDef("r", "hourly", "hour", partitioned=True, partition_length=24))
+    ingest(engine, "activity", _stream(s, d), f"{work}/checkpoint").awaitTermination()
+    return engine.get_report("r", ReportQuery(EVERYTHING, "day", metric="SUM", field="value", group_by=("band",)))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """The all-metrics dataset by day, from raw events."""
     return _long(s, d)

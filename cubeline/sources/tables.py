@@ -18,7 +18,11 @@ def _who(kind: str, column: str):
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events`: value and k, a band of the value, whether it is over 50; by user."""
-    e = _t(spark, sf_dir, "events")
+    return activity_of(_t(spark, sf_dir, "events"))
+
+
+def activity_of(e: DataFrame) -> DataFrame:
+    """The same from the rows of `events`, streamed ones too."""
     band = F.when(F.col("value") < 10, "low").when(F.col("value") < 50, "mid").otherwise("high")
     return e.select(
         F.col("event_id").cast("string").alias("uuid"), F.lit("activity").alias("source_id"), "event_type", "ts", _who("user", "user_id").alias("attributions"),

@@ -42,6 +42,7 @@ def test_ingest(spark, tmp_path):
     assert {r.source_id: r.n_events for r in e.counts().collect()} == {"src": 3, "idle": 0}
     meta = {r.kind: r.names for r in e.metadata("r").collect()}
     assert meta == {"metric": ["test_event_count", "value_sum"], "field": ["category"], "event_type": ["test_event"], "source": ["src"]}
+    assert [(r.cube, r.n_batches) for r in e.stats().collect()] == [("c", 2)] and e.compute(spark.range(1), {"x": "id + 1"}).first().x == 1
     assert ev.already_stored(rows, e.events()).count() == 2
     e.delete_report("r")
     assert not e.registry.cubes and not (tmp_path / "cubes" / "c").exists()
