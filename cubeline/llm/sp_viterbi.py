@@ -43,7 +43,8 @@ from cubeline.llm.common import whole_text
 
 SPACE = "▁"
 #: Words kept in memory, and the longest that is kept.
-WORDS, LONGEST = 200_000, 48
+WORDS, LONGEST = 400_000, 48
+_WORST = float("-inf")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 
@@ -126,11 +127,13 @@ class Model:
         for w in _WORD.findall(s):
             got = known.get(w)
             if got is None:
-                got = _ids(self, w)
                 if len(w) <= LONGEST:
+                    got = _word(self, w)
                     if len(known) >= WORDS:
                         known.clear()
                     known[w] = got
+                else:
+                    got = _ids(self, w)
             out.append(got)
         return b"".join(out)
 
@@ -140,6 +143,40 @@ class Model:
         return (b[1:] if self.dummy and b.startswith(b" ") else b).decode("utf-8", "replace")
 
 
+def _word(m: Model, w: str) -> bytes:
+    """The same search for a word that fits in a window whole: nothing to commit before its end."""
+    n, longest, get, low = len(w), m.longest, m.trie.get, m.unknown_score
+    best, back = [_WORST] * (n + 1), [(0, -1)] * (n + 1)
+    best[0] = 0.0
+    for p in range(n):
+        here, single = best[p], False
+        for e in range(p + 1, min(n, p + longest) + 1):
+            hit = get(w[p:e], False)
+            if hit:
+                score = here + hit[1]
+                if score > best[e]:
+                    best[e] = score
+                    back[e] = (p, hit[0])
+                if e == p + 1:
+                    single = True
+            elif hit is False:
+                break
+        if not single and here + low > best[p + 1]:
+            best[p + 1] = here + low
+            back[p + 1] = (p, -1)
+    path, at = [], n
+    while at:
+        start, i = back[at]
+        if i < 0:
+            raw = w[start:at].encode("utf-8", "surrogatepass")
+            path += [m.byte.get(b, m.unknown) for b in reversed(raw)] if m.byte else [m.unknown]
+        else:
+            path.append(i)
+        at = start
+    path.reverse()
+    return array("i", path).tobytes()
+
+
 def _ids(model: Model, s: str) -> bytes:
     st = Stream(model)
     st.feed(s)

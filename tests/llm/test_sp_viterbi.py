@@ -80,6 +80,7 @@ def test_whole_search_and_round_trip(m):
         t = "".join(rng.choices("abcdeorst  \n.é日", k=rng.randint(0, 200)))
         ids = array("i", m.encode(t)).tolist()
         assert ids == whole(m, m.normal(t)) and m.decode(ids) == t
+        assert V._ids(m, m.normal(t)) == array("i", ids).tobytes()  # the stream, without the words
     for t in TEXTS:
         if V.SPACE not in t:
             assert m.decode(array("i", m.encode(t))) == t
