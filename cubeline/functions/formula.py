@@ -113,7 +113,7 @@ def _extreme(f, empty: float) -> Callable[..., Column]:
 
 
 _ONE: dict[str, Callable[[Column], Column]] = {
-    "sqrt": F.sqrt, "abs": F.abs, "round": lambda x: F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).otherwise(F.signum(x) * F.floor(F.abs(x) + 0.5).cast("double")),
+    "sqrt": F.sqrt, "abs": F.abs, "round": lambda x: F.round(x, 0),  # half away from zero
     "ceil": lambda x: F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).otherwise(F.ceil(x).cast("double")),
     "floor": lambda x: F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).otherwise(F.floor(x).cast("double")),
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "log": _log(F.ln), "log10": _log(F.log10), "exp": F.exp,
@@ -161,7 +161,7 @@ def compute(df: DataFrame, spec: dict[str, str]) -> DataFrame:
 
 _MATH: dict[str, Callable[..., float]] = {
     "pow": lambda x, y: x**y, "sqrt": lambda x: math.sqrt(x) if x >= 0 else _NAN, "abs": abs, "exp": math.exp, "sin": math.sin, "cos": math.cos, "tan": math.tan,
-    "round": lambda x: math.copysign(math.floor(abs(x) + 0.5), x), "ceil": lambda x: float(math.ceil(x)), "floor": lambda x: float(math.floor(x)),
+    "round": lambda x: math.copysign(math.floor(abs(x)) + (abs(x) % 1 >= 0.5), x), "ceil": lambda x: float(math.ceil(x)), "floor": lambda x: float(math.floor(x)),
     "log": lambda x: math.log(x) if x > 0 else -_INF if x == 0 else _NAN, "log10": lambda x: math.log10(x) if x > 0 else -_INF if x == 0 else _NAN,
     "max": lambda *xs: max([x for x in xs if x == x], default=-_INF), "min": lambda *xs: min([x for x in xs if x == x], default=_INF),
 }

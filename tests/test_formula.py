@@ -7,7 +7,7 @@ from cubeline.functions import formula as X
 CTX = {"deal_value_sum": 150000.0, "deal_value_count": 10.0, "cost_sum": 60000.0, "nested_value": 5.0, "my_var_1": 2.0, "info": 3.0}
 CASES = [
     ("deal_value_sum - cost_sum", 90000), ("10 + deal_value_count * 5", 60), ("(deal_value_sum / deal_value_count) - (cost_sum / deal_value_count)", 9000), ("pow(deal_value_count, 2)", 100),
-    ("deal_value_sum / 0", 0), ("round(9.5)", 10), ("round(-2.5)", -3), ("ceil(9.1)", 10), ("floor(9.9)", 9), ("abs(-10)", 10), ("sqrt(16)", 4), ("log(5)", math.log(5)), ("log10(100)", 2), ("exp(5)", math.exp(5)),
+    ("deal_value_sum / 0", 0), ("round(9.5)", 10), ("round(-2.5)", -3), ("round(0.49999999999999994)", 0), ("ceil(9.1)", 10), ("floor(9.9)", 9), ("abs(-10)", 10), ("sqrt(16)", 4), ("log(5)", math.log(5)), ("log10(100)", 2), ("exp(5)", math.exp(5)),
     ("sin(0)", 0), ("cos(0)", 1), ("tan(0)", 0), ("deal_value_sum * my_var_1", 300000), ("max(1, my_var_1, 3)", 3), ("min(4)", 4), ("2 - 1 - 1", 0), ("8 / 4 / 2", 1), ("1e3 + .5", 1000.5), ("info + 1", 4),
 ]
 
