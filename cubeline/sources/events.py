@@ -40,10 +40,17 @@ def with_default_ts(ts):
 
 
 def dedupe(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One event for each (source_id, uuid), none that is stored already."""
+    """One event for each (source_id, uuid), none that is stored already.
+
+    Of what is stored only the keys are read, and where the new keys are few they are sent to
+    that scan, so that history isn't shuffled for each batch.
+    """
     key = ["source_id", "uuid"]
     out = new.dropDuplicates(key)
-    return out if stored is None else out.join(stored.select(*key), key, "left_anti")
+    if stored is None:
+        return out
+    known = stored.select(*key).join(small(out.select(*key)), key, "left_semi")
+    return out.join(known, key, "left_anti")
 
 
 def already_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
