@@ -23,6 +23,7 @@ from cubeline.model import METRIC_TYPES, TOTAL, CubeDef
 
 DIMENSIONS = ("source_id", "event_type", "ts", "granularity", "attribution_type", "attribution_value", "aggregation_type", "payload_field", "payload_category", "compound_category_key", "leaf_key")
 _LEAF = "array<struct<k:string,v:string>>"
+_ROWS = f"array<struct<aggregation_type:string,payload_field:string,payload_category:string,compound_category_key:string,leaf_key:{_LEAF},value:double>>"
 _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
@@ -116,7 +117,7 @@ def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[
     numbers, categories, booleans = _arrays(events)
     held = [categories.alias("_c")] if "LEAF_SUM" in kinds or not typed else []
     held += ["payload"] if typed else [numbers.alias("_n"), booleans.alias("_b")]
-    parts = F.array(*_typed_rows(events, kinds)) if typed else F.concat(*_variant_rows(kinds))
+    parts = F.array(*_typed_rows(events, kinds)).cast(_ROWS) if typed else F.concat(F.array().cast(_ROWS), *_variant_rows(kinds))
     kind = events.schema["ts"].dataType
     total = F.array(F.struct(F.lit(TOTAL).alias("type"), F.lit(TOTAL).alias("value")))
     who = F.concat(total, F.coalesce("attributions", F.array().cast("array<struct<type:string,value:string>>"))) if attributions else total
