@@ -107,6 +107,14 @@ class Model:
                 for n in range(1, len(p)):
                     self.trie.setdefault(p[:n], None)
                 self.trie[p] = (i, len(p) * top - 0.1 if k == _USER else s)
+        #: The same by single characters: what follows, and under 0 the piece that ends here.
+        self.root: dict = {}
+        for p, hit in self.trie.items():
+            if hit:
+                node = self.root
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[0] = hit
         self.by_word = not any(k in (_NORMAL, _USER) and re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(self.pieces, self.kinds, strict=True))
         self.known: dict[str, bytes] = {}
         self.surface = [
@@ -145,13 +153,17 @@ class Model:
 
 def _word(m: Model, w: str) -> bytes:
     """The same search for a word that fits in a window whole: nothing to commit before its end."""
-    n, longest, get, low = len(w), m.longest, m.trie.get, m.unknown_score
+    n, root, low = len(w), m.root, m.unknown_score
     best, back = [_WORST] * (n + 1), [(0, -1)] * (n + 1)
     best[0] = 0.0
     for p in range(n):
-        here, single = best[p], False
-        for e in range(p + 1, min(n, p + longest) + 1):
-            hit = get(w[p:e], False)
+        here, single, node, e = best[p], False, root, p
+        while e < n:
+            node = node.get(w[e])
+            if node is None:
+                break
+            e += 1
+            hit = node.get(0)
             if hit:
                 score = here + hit[1]
                 if score > best[e]:
@@ -159,8 +171,6 @@ def _word(m: Model, w: str) -> bytes:
                     back[e] = (p, hit[0])
                 if e == p + 1:
                     single = True
-            elif hit is False:
-                break
         if not single and here + low > best[p + 1]:
             best[p + 1] = here + low
             back[p + 1] = (p, -1)
