@@ -33,6 +33,7 @@ MAX_TRAIN = 8_000
 CELLS = 8_192
 ORDERS = (4, 5)
 PENALTY = 1.0
+ROUNDS = 200
 _SPACE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(r"[\W\d_]+")
@@ -96,7 +97,7 @@ def fit(texts: list[str], toxic: np.ndarray, cells_kept: int = CELLS, penalty: f
         u /= max(top, 1e-12)
     step = 1 / (0.25 * (top + n) + penalty)
     mom_w, mom_b = w.copy(), b
-    for k in range(600):
+    for k in range(ROUNDS):
         e = 1 / (1 + np.exp(-np.clip(forward(mom_w) + mom_b, -500, 500))) - y
         vw = mom_w - step * (np.bincount(col, val * e[row], minlength=len(kept)) + penalty * mom_w)
         vb = mom_b - step * e.sum()
