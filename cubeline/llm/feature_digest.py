@@ -16,8 +16,13 @@ equal texts.
 A text under 64 bytes has no whole window; each of its 8-byte windows is a feature (under 8
 bytes: the text itself).  An empty text (or null) has no filter, is
 like another empty text by 1 and like any other text by 0.  A text always has a feature: if
-no window scores 16 points, the lowest rank of all is taken.  Texts are processed whole; a
-text's fingerprint depends on that text alone.
+no window scores 16 points, the lowest rank of all is taken.  A text of z bytes has z - 126
+runs, and about 64 of them give a feature.  With fewer than 4 * 64 runs (64 to 381 bytes) few
+windows score, or none, and an edit may touch them all; such a text has its 8-byte windows as
+features too, after those selected, so that the selected ones still meet those of a longer
+text.  Its features are dealt evenly over the filters they need: one with few bits would be
+like many by chance.  Texts are processed whole; a text's fingerprint depends on that text
+alone.
 
 Entropies are whole numbers (sums of c * log2 c in thousandths), so that results are the
 same on every machine.  They are updated along many stretches at once, a byte in and a byte
@@ -39,6 +44,8 @@ from cubeline.llm.common import long_key, ordered_buckets, partitions_for, whole
 WINDOW = 64
 RUN = 64
 POINTS = 16
+#: A text of one window or more, but under so many bytes, has its small windows as features too.
+SHORT = WINDOW + RUN - 2 + 4 * RUN
 PER_FILTER = 160
 BITS = 2048
 HASHES = 5
@@ -110,12 +117,12 @@ def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _small(b: bytes) -> list[int]:
-    """Hashes of a text under one window."""
-    return [int.from_bytes(hashlib.sha256(b[i : i + 8]).digest()[:8], "little") for i in range(max(1, len(b) - 7))]
+    """Hashes of a text's 8-byte windows, without repeats."""
+    return [int.from_bytes(hashlib.sha256(w).digest()[:8], "little") for w in dict.fromkeys(b[i : i + 8] for i in range(max(1, len(b) - 7)))]
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the features of each text, in order of place, without repeats within a text."""
+    """(text number, hash) of the selected features of each text, in order of place, without repeats within a text."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(size) - size
@@ -161,14 +168,26 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], value[order]
 
 
+def inserted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As features(), with the small windows after them in short texts."""
+    doc, value = features(texts)
+    short = [k for k, t in enumerate(texts) if WINDOW <= len(t) < SHORT]
+    made = [_small(texts[k]) for k in short]
+    doc = np.concatenate([doc, np.repeat(np.array(short, np.int64), [len(m) for m in made])])
+    value = np.concatenate([value, np.array([h for m in made for h in m], np.uint64)])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], value[order]
+
+
 def filters(texts: list[bytes]) -> list[np.ndarray]:
     """The chained filters of each text: an array of (filters, 256) bytes."""
-    doc, value = features(texts)
+    doc, value = inserted(texts)
     n = np.bincount(doc, minlength=len(texts))
     chain = -(-n // PER_FILTER)
     first = np.cumsum(chain) - chain
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    where = first[doc] + nth // PER_FILTER
+    short = np.fromiter((len(t) < SHORT for t in texts), bool, len(texts))
+    where = first[doc] + np.where(short[doc], nth * chain[doc] // n[doc], nth // PER_FILTER)
     bits = np.zeros((int(chain.sum()), BITS), np.uint8)
     for k in range(HASHES):
         bits[where, (value >> np.uint64(11 * k)) & np.uint64(BITS - 1)] = 1

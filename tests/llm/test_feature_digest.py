@@ -57,6 +57,28 @@ def test_likeness():
     assert D.edited("abcdefgh", "xyz") == "abcdefxy" and D.edited("abc", "x") == "abc" and D.edited("abcdefgh", "x") == "abcdefx"
 
 
+@pytest.mark.parametrize("size", range(64, 201, 8))
+def test_short_texts_are_like_their_edits(size):
+    rng = random.Random(size)
+    texts = [words(rng, 80)[:size] for _ in range(40)]
+    made = [D.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    own, edit = D.filters([t.encode() for t in texts]), D.filters([t.encode() for t in made])
+    near = [D.likeness(a, b) for a, b in zip(own, edit, strict=True)]
+    assert min(near) > 0.4  # three quarters of each text are unchanged
+    assert max(D.likeness(a, b) for a, b in zip(own, own[1:], strict=False)) < 0.3
+
+
+def test_short_and_long_texts_meet():
+    """Texts on both sides of the limit are still alike by the windows selected."""
+    rng = random.Random(12)
+    near = []
+    for _ in range(40):
+        text = words(rng, 120)
+        a, b = D.filters([text[: D.SHORT - 1].encode(), text[: D.SHORT].encode()])
+        near.append(D.likeness(a, b))
+    assert min(near) > 0.4
+
+
 def test_against_plain_order(spark):
     rng = random.Random(8)
     rows = [(i * 3, words(rng, rng.randint(0, 60)), "x") for i in range(60)] + [(None, "no id", "x"), (9, "twice", "x"), (9, "twice", "x"), (30, None, "x"), (31, words(rng, 30_000), "x")]
