@@ -9,8 +9,8 @@ Differencing alone can't tell a page's article from a copy of it next door, nor
 only one page carries (README, with figures).  So two things that markup states count more:
 lines inside `article` or `main` stay even if they are shared, and lines inside elements that
 name themselves menu, header, footer, sidebar, notice, advert, form, comments, script or style
-go even if they are not.  All other lines are decided by the differencing; where a page has an
-`article` or `main` with text, other lines go as well.
+go even if they are not.  All other lines are decided by the differencing, beside an `article`
+or `main` too.
 
 Whole pages are read; character references are decoded; white space within a block becomes one
 space; blocks are joined by one newline.  Comments, unclosed and nested paragraphs and
@@ -184,8 +184,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 def main_text(own: list[Line], partner: list[Line] | None) -> str:
     """The lines that stay: not shared with the partner, unless the markup says otherwise."""
     gone = shared([t for t, _ in own], [t for t, _ in partner]) if partner else set()
-    core = any(k == KEPT for _, k in own)
-    return "\n".join(t for n, (t, k) in enumerate(own) if k == KEPT or (k == FREE and not core and n not in gone))
+    return "\n".join(t for n, (t, k) in enumerate(own) if k == KEPT or (k == FREE and n not in gone))
 
 
 def place(url: str | None) -> tuple[str, str]:

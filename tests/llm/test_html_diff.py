@@ -43,6 +43,12 @@ def test_differencing_decides_where_markup_is_silent():
     assert H.main_text(H.lines(c), H.lines(c)) == "Story."
 
 
+def test_differencing_decides_beside_an_article():
+    a = '<div>Site</div><article><h1>Teaser</h1></article><div>The body one.</div><div>Goes on.</div><div class="ad">Buy</div><div>Imprint</div>'
+    b = a.replace("Teaser", "Other").replace("The body one.", "The body two.").replace("Goes on.", "Ends.")
+    assert H.main_text(H.lines(a), H.lines(b)) == "Teaser\nThe body one.\nGoes on."
+
+
 def page(k):
     return f"<div>Shared top</div><div>Line {k}</div><div>Only {k * 7}</div><div>Shared end</div>"
 
