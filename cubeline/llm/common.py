@@ -72,21 +72,23 @@ def partitions_for(spark: SparkSession, df: DataFrame, least: int = 12) -> int:
 SAMPLE_PER_BUCKET, SAMPLE_MOST = 40, 1_000_000
 
 
-def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, after: bool, wrap: bool = False) -> DataFrame:
+def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, after: bool, wrap: bool = False, mark: Column | None = None) -> DataFrame:
     """Deal df into `buckets` ranges of a string key, each with its neighbours at the edges.
 
     Every row comes out once with side 0.  The rows that hold a bucket's lowest key come out
     again with side 1 in the bucket before it (`after`), those with its highest key with side
-    -1 in the bucket after it (`before`); with `wrap` the first bucket follows the last.
+    -1 in the bucket after it (`before`); with `wrap` the first bucket follows the last.  With
+    `mark`, a value that follows from the key, and where rows of one mark lie on both sides of
+    an edge, the nearest rows of another mark come along, from beyond whole buckets if need be.
     Columns `_key`, `_bucket` and `_side` are added; a partition holds whole buckets, sorted
     by (_bucket, _side, _key).  Texts are shuffled once.  The driver gets a bounded sample of
-    keys and two keys a bucket, never rows.
+    keys and two keys a bucket (four with `mark`), never rows.
     """
     keyed = df.withColumn("_key", key)
-    keys = keyed.select("_key")
+    keys = keyed.select("_key") if mark is None else keyed.select("_key", mark.alias("_mark"))
     # the keys whose hash is under a threshold: about as many as asked for, the same in every run
     share = min(1.0, min(SAMPLE_PER_BUCKET * buckets, SAMPLE_MOST) / max(1, df.count()))
-    drawn = keys.where(F.xxhash64("_key") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).collect()
+    drawn = keys.select("_key").where(F.xxhash64("_key") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).collect()
     seen = sorted(r[0] for r in drawn)
     cuts = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
 
@@ -95,7 +97,9 @@ def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, a
             yield pa.array([bisect.bisect_right(cuts, k) for k in a.to_pylist()], pa.int32())
 
     dealt = F.arrow_udf(_typed(bucket_of, "bucket"), "int")
-    ends = {r[0]: (r[1], r[2]) for r in keys.select(dealt("_key").alias("b"), "_key").groupBy("b").agg(F.min("_key"), F.max("_key")).collect()}
+    by_bucket = keys.select(dealt("_key").alias("b"), *keys.columns).groupBy("b")
+    marks = [] if mark is None else [F.min_by("_mark", "_key"), F.max_by("_mark", "_key")]
+    ends = {r[0]: tuple(r[1:]) for r in by_bucket.agg(F.min("_key"), F.max("_key"), *marks).collect()}
     full = sorted(ends)
     more: dict[str, list[tuple[int, int]]] = {}
     for at, b in enumerate(full):
@@ -105,6 +109,10 @@ def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, a
         nxt = full[at + 1] if at + 1 < len(full) else None
         if before and nxt is not None:
             more.setdefault(ends[b][1], []).append((nxt, -1))
+    if mark is not None:
+        for k, b, side in _unlike(keys.withColumn("b", dealt("_key")), ends):
+            if after if side == 1 else before:
+                more.setdefault(k, []).append((b, side))
 
     def targets(it):
         for a in it:
@@ -126,6 +134,41 @@ def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, a
     )
 
 
+def _unlike(keys: DataFrame, ends: dict[int, tuple[str, str, str, str]]) -> list[tuple[str, int, int]]:
+    """(key, bucket it comes to, side) of the rows nearest to an edge that are of another mark than those on both sides of it.
+
+    ends: lowest and highest key of each bucket and their marks.
+    """
+    full = sorted(ends)
+    joins = [(a, b) for a, b in zip(full, full[1:], strict=False) if ends[a][3] == ends[b][2]]
+    if not joins:
+        return []
+    low, high = {b: ends[b][2] for _, b in joins}, {a: ends[a][3] for a, _ in joins}
+
+    def inner(marks):
+        def f(b: pa.Array, m: pa.Array) -> pa.Array:
+            return pa.array([x in marks and marks[x] != y for x, y in zip(b.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
+
+        f.__annotations__ = {"b": pa.Array, "m": pa.Array, "return": pa.Array}
+        return F.arrow_udf(f, "boolean")("b", "_mark")
+
+    seconds = {r[0]: (r[1], r[2]) for r in keys.groupBy("b").agg(F.min(F.when(inner(low), F.col("_key"))), F.max(F.when(inner(high), F.col("_key")))).collect()}
+    out = []
+    for side, order, first, last in ((-1, full, 2, 3), (1, full[::-1], 3, 2)):
+        at = other = None  # the last (key, mark) met, and the last of another mark
+        for b in order:
+            if at is not None and at[1] == ends[b][first] and other is not None:
+                out.append((other[0], b, side))
+            now = (ends[b][last - 2], ends[b][last])
+            second = seconds.get(b, (None, None))[1 if side == -1 else 0]
+            if second is not None:
+                other = (second, None)
+            elif at is not None and at[1] != now[1]:
+                other = at
+            at = now
+    return out
+
+
 def _typed(f: Callable, name: str) -> Callable:
     from collections.abc import Iterator
 

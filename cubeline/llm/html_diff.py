@@ -1,7 +1,8 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
 Pages are put in order of host and URL path.  A page's partner is, of its neighbours there on
-the same host, the one whose path shares the longer prefix (the earlier on ties).  Both pages
+the same host, the one whose path shares the longer prefix (the earlier on ties); pages with
+the same html are no neighbours of each other, the next one before or after them is.  Both pages
 are cut into lines, one for each block; the lines are aligned by longest common subsequence,
 and a line that the partner shares goes.
 
@@ -15,10 +16,11 @@ or `main` too.
 Whole pages are read; character references are decoded; white space within a block becomes one
 space; blocks are joined by one newline.  Comments, unclosed and nested paragraphs and
 truncated pages are handled as they stand.  Null html is empty and gives an empty text.  A page
-without partner keeps its lines.  A null URL is a host of its own kind ("").  Repeated rows
-are neighbours of each other; they count as partners only if no other page is near.
+without partner keeps its lines.  A null URL is a host of its own kind ("").  Repeated rows and
+other copies are never partners, and a host with nothing but copies of one page has none.
 
-The order is dealt in ranges with both edge neighbours, so each page meets its partner in one
+The order is dealt in ranges with both edge neighbours and, where copies go on over an edge, the
+nearest page there that is no copy, so each page meets its partner in one
 shuffle of the html, and a host with a third of all pages spreads over as many ranges as its
 share asks for.
 """
@@ -208,9 +210,9 @@ def _common(a: str, b: str) -> int:
 
 
 def nearest(host: str, path: str, around: list[tuple[str, str, str]]) -> int | None:
-    """Which of the neighbours (host, path, html) is the partner; a copy of the page only if there is no other."""
+    """Which of the neighbours (host, path, html) is the partner; copies of the page are not among them."""
     best = None
-    for k, (h, p, other) in enumerate(around):
+    for k, (h, p, _) in enumerate(around):
         if h == host:
             score = (_common(path, p), -k)
             if best is None or score > best[0]:
@@ -218,43 +220,57 @@ def nearest(host: str, path: str, around: list[tuple[str, str, str]]) -> int | N
     return None if best is None else best[1]
 
 
-def _run(batches):
-    before = now = None
-    bucket = None
+#: Characters of texts that leave in one batch.
+_TOGETHER = 8 << 20
+
 
-    def solve(prev, row, nxt):
-        _, i, u, h, p, page, own = row
-        around = [x for x in (prev, nxt) if x is not None]
-        k = nearest(h, p, [(x[3], x[4], x[5]) for x in around])
-        t = main_text(own(), None if k is None else around[k][6]())
-        return i, u, t, len(t)
+def _run(batches):
+    """Neighbouring rows of one host and html are a run; the rows at its two sides are the neighbours of them all."""
+    rows, held = [], 0
+    bucket = before = None
+    run: list[tuple[int, int | None, str | None, str]] = []  # side, page_id, url, path
+    host = page = own = None
 
     def lazily(page):
         kept = []
         return lambda: kept[0] if kept else (kept.append(lines(page)), kept[0])[1]
 
-    def batch(rows):
-        cols = list(zip(*rows, strict=True))
+    def batch():
+        nonlocal rows, held
+        cols, rows, held = list(zip(*rows, strict=True)), [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
 
+    def solve(nxt):
+        nonlocal held
+        around = [x for x in (before, nxt) if x is not None]
+        made: dict[int | None, str] = {}
+        for side, i, u, p in run:
+            if side == 0:
+                k = nearest(host, p, [x[:3] for x in around])
+                if k not in made:
+                    made[k] = main_text(own(), None if k is None else around[k][3]())
+                rows.append((i, u, made[k], len(made[k])))
+                held += len(made[k]) + len(u or "")
+                if held > _TOGETHER:
+                    yield batch()
+
     for b in batches:
-        rows = []
-        for bk, side, i, u, page in zip(*(b.column(c).to_pylist() for c in ("_bucket", "_side", "page_id", "url", "html")), strict=True):
+        # the rows after a bucket have side 1, those before it -1
+        for bk, side, i, u, new in zip(*(b.column(c).to_pylist() for c in ("_bucket", "_side", "page_id", "url", "html")), strict=True):
+            h, p = place(u)
             if bk != bucket:
-                if now is not None and now[0] == 0:
-                    rows.append(solve(before, now, None))
-                before = now = None
-                bucket = bk
-            if now is not None and (side, i, u, page) == (now[0], now[1], now[2], now[5]) and side:
-                continue  # an edge row of which there are several
-            nxt = (side, i, u, *place(u), page, lazily(page))
-            if now is not None and now[0] == 0:
-                rows.append(solve(before, now, nxt))
-            before, now = now, nxt
-        if rows:
-            yield batch(rows)
-    if now is not None and now[0] == 0:
-        yield batch([solve(before, now, None)])
+                yield from solve(None)
+                bucket, before, run, host, page = bk, None, [], h, None
+            if (h, new) != (host, page):
+                mine = lazily(new)
+                if run:
+                    yield from solve((h, p, new, mine))
+                    before = (host, run[-1][3], page, own)
+                run, host, page, own = [], h, new, mine
+            run.append((side, i, u, p))
+    yield from solve(None)
+    if rows:
+        yield batch()
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -269,5 +285,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     spot = F.arrow_udf(_typed(keys, "place"), "string")
     key = F.concat_ws("\x00", spot("url"), long_key(F.col("page_id")), F.md5(F.concat_ws("\x00", "url", "html").cast("binary")))
+    mark = F.md5(F.concat_ws("\x00", F.substring_index(spot("url"), "\x01", 1), "html").cast("binary"))
     n = partitions_for(pages.sparkSession, pages)
-    return ordered_buckets(base, key, n, before=True, after=True).select("_bucket", "_side", "page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return ordered_buckets(base, key, n, before=True, after=True, mark=mark).select("_bucket", "_side", "page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")

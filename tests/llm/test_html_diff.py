@@ -80,3 +80,25 @@ def test_repeats_and_empty(spark):
     got = sorted((str(r.page_id), r.text) for r in H.extract(df).collect())
     assert got == [("1", "A")] * 3 + [("None", "b")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_partners(spark):
+    """Runs of copies, without article markup, over many ranges: the partner is the nearest page on the host with another html."""
+    rng = random.Random(5)
+    rows = [(1000 + k // 2, f"http://a.org/m/{k // 2:03d}", page(1)) for k in range(160)]  # each row twice
+    rows += [(1, "http://a.org/b", page(2)), (2, "http://a.org/m/040x", page(3)), (3, "http://a.org/z", page(4))]
+    rows += [(10 + k, "http://copies.org/x", page(5)) for k in range(60)] + [(90, "http://d.org/1", page(5)), (91, "http://d.org/2", page(6))]
+    rng.shuffle(rows)
+    order = sorted(rows, key=lambda r: (*H.place(r[1]), r[0]))
+    want = []
+    for n, (i, u, h) in enumerate(order):
+        host, path = H.place(u)
+        other = [[(*H.place(v), g) for _, v, g in side if H.place(v)[0] == host and g != h][:1] for side in (order[:n][::-1], order[n + 1 :])]
+        around = [x for side in other for x in side]
+        k = H.nearest(host, path, around)
+        t = H.main_text(H.lines(h), None if k is None else H.lines(around[k][2]))
+        want.append((i, u, t, len(t)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [tuple(r) for r in H.extract(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert all(t.startswith("Line ") for i, u, t, _ in got if "copies" not in u) and all("Shared top" in t for i, u, t, _ in got if "copies" in u)
