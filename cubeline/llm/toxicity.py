@@ -4,7 +4,8 @@ A text is lower-cased, everything but letters becomes a space, and runs of space
 features are the 4- and 5-grams that occur in it (present or not), hashed into 2**20 cells.
 For each cell r = log of the smoothed ratio between the shares of toxic and of clean texts
 that have it.  The cells that tell most (mutual information) are kept; a logistic regression
-with an L2 penalty is fitted on presence * r.  A text's score is the probability it gives.
+with an L2 penalty is fitted on presence * r, until the gradient is `TOLERANCE` of what it was
+at the start.  A text's score is the probability it gives.
 
 Training rows are labelled rows; `MAX_TRAIN` of them at most, those of the lowest hash of the
 doc_id.  The sample is bounded, so its doc_ids may be broadcast to find the texts, and one
@@ -33,7 +34,8 @@ MAX_TRAIN = 8_000
 CELLS = 8_192
 ORDERS = (4, 5)
 PENALTY = 1.0
-ROUNDS = 200
+#: The fit ends when the gradient's length is under this share of its first (or of a millionth a row); if it isn't after so many rounds, the fit fails.
+TOLERANCE, ROUNDS = 1e-4, 20_000
 _SPACE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(r"[\W\d_]+")
@@ -88,7 +90,7 @@ def fit(texts: list[str], toxic: np.ndarray, cells_kept: int = CELLS, penalty: f
         return np.bincount(row, val * w[col], minlength=len(rows))
 
     w, b = np.zeros(len(kept)), float(np.log(pos / neg))
-    vw, vb, n = np.zeros(len(kept)), 0.0, len(rows)
+    n = len(rows)
     # Nesterov's method; the step is the inverse of the largest curvature, by power iteration
     u = np.random.default_rng(0).random(len(kept))
     for _ in range(20):
@@ -96,15 +98,21 @@ def fit(texts: list[str], toxic: np.ndarray, cells_kept: int = CELLS, penalty: f
         top = np.linalg.norm(u)
         u /= max(top, 1e-12)
     step = 1 / (0.25 * (top + n) + penalty)
-    mom_w, mom_b = w.copy(), b
-    for k in range(ROUNDS):
+    mom_w, mom_b, k, first = w.copy(), b, 0, None
+    for _ in range(ROUNDS):
         e = 1 / (1 + np.exp(-np.clip(forward(mom_w) + mom_b, -500, 500))) - y
-        vw = mom_w - step * (np.bincount(col, val * e[row], minlength=len(kept)) + penalty * mom_w)
-        vb = mom_b - step * e.sum()
+        gw, gb = np.bincount(col, val * e[row], minlength=len(kept)) + penalty * mom_w, e.sum()
+        long = np.sqrt(gw @ gw + gb * gb)
+        first = max(long, 1e-6 * n) if first is None else first
+        if long <= TOLERANCE * first:
+            return mom_b, kept, mom_w * r[kept]
+        vw, vb = mom_w - step * gw, mom_b - step * gb
+        # momentum that leads uphill starts anew
+        k = 0 if gw @ (vw - w) + gb * (vb - b) > 0 else k + 1
         a = k / (k + 3)
         mom_w, mom_b = vw + a * (vw - w), vb + a * (vb - b)
         w, b = vw, vb
-    return b, kept, w * r[kept]
+    raise RuntimeError(f"the fit did not converge in {ROUNDS} rounds")
 
 
 def scorer(model: tuple[float, np.ndarray, np.ndarray]):

@@ -55,3 +55,21 @@ def test_ratio_against_by_hand():
     b, kept, w = T.fit(texts, y)
     s = T.scorer((b, kept, w))
     assert s("bad") > 0.5 > s("fine") and s("") == s("?!")
+
+
+def test_fit_ends_at_the_optimum():
+    """Labels that separate badly; the gradient by hand at the fitted weights."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(150)]
+    texts = [" ".join(rng.choice(vocabulary, 12)) for _ in range(600)]
+    y = np.array([int((vocabulary[0] in t) ^ (rng.random() < 0.4)) for t in texts])
+    b, kept, weights = T.fit(texts, y)
+    x = np.array([np.isin(kept, T.cells(t)) for t in texts], float)
+    r = np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2))
+
+    def gradient(b, w):
+        e = 1 / (1 + np.exp(-(b + x @ (w * r)))) - y
+        return np.linalg.norm([*(r * (e @ x) + T.PENALTY * w), e.sum()])
+
+    w = np.divide(weights, r, out=np.zeros(len(r)), where=r != 0)
+    assert gradient(b, w) <= 2e-4 * gradient(np.log(y.sum() / (1 - y).sum()), np.zeros(len(r)))
