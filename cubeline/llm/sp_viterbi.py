@@ -9,7 +9,8 @@ Memory is thus bounded by the longest piece, not by the text, as long as paths m
 such models meet within a few pieces).
 
 Characters that no piece covers become byte pieces where the model has them, else the unknown
-id.  Ties go to the longer last piece.  Scores are added as 64-bit floats.
+id.  Ties go to the longer last piece.  Scores are added as 64-bit floats, from 0 at each
+committed boundary on, so that portions of any size give the same ids.
 
 Texts are normalised as the file says for the identity rule: a dummy space in front if asked
 for, spaces as U+2581.  Files with other rules are refused, as is decoding by guesswork:
@@ -17,7 +18,8 @@ for, spaces as U+2581.  Files with other rules are refused, as is decoding by gu
 
 In most models no piece holds a space after another character.  Each run of spaces with the
 word behind it then starts and ends at a boundary that all paths share, so its ids depend on
-itself alone, and words that were met before are taken from a bounded memory.
+itself alone.  Every such word goes through a `Stream`; the ids of words no longer than the
+longest piece are remembered (a bounded memory), so that a common word is searched once.
 
 The public model file is of BPE kind; its ids by merging are another segmentation.  These are
 those of the best path in the library's list when the same pieces and scores are loaded as a
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 from cubeline.llm.common import whole_text
 
 SPACE = "▁"
-#: Words kept in memory, and the longest that is kept.
-WORDS, LONGEST = 400_000, 48
+#: Words kept in memory; none is longer than the longest piece.
+WORDS = 400_000
 _WORST = float("-inf")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
@@ -117,6 +119,7 @@ class Model:
                 node[0] = hit
         self.by_word = not any(k in (_NORMAL, _USER) and re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(self.pieces, self.kinds, strict=True))
         self.known: dict[str, bytes] = {}
+        self.stream = Stream(self)
         self.surface = [
             bytes((int(p[3:5], 16),)) if k == _BYTE else " ⁇ ".encode() if k == _UNKNOWN else b"" if k == 3 else p.replace(SPACE, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
@@ -135,13 +138,11 @@ class Model:
         for w in _WORD.findall(s):
             got = known.get(w)
             if got is None:
-                if len(w) <= LONGEST:
-                    got = _word(self, w)
+                got = _ids(self, w)
+                if len(w) <= self.longest:
                     if len(known) >= WORDS:
                         known.clear()
                     known[w] = got
-                else:
-                    got = _ids(self, w)
             out.append(got)
         return b"".join(out)
 
@@ -151,150 +152,121 @@ class Model:
         return (b[1:] if self.dummy and b.startswith(b" ") else b).decode("utf-8", "replace")
 
 
-def _word(m: Model, w: str) -> bytes:
-    """The same search for a word that fits in a window whole: nothing to commit before its end."""
-    n, root, low = len(w), m.root, m.unknown_score
-    best, back = [_WORST] * (n + 1), [(0, -1)] * (n + 1)
-    best[0] = 0.0
-    for p in range(n):
-        here, single, node, e = best[p], False, root, p
-        while e < n:
-            node = node.get(w[e])
-            if node is None:
-                break
-            e += 1
-            hit = node.get(0)
-            if hit:
-                score = here + hit[1]
-                if score > best[e]:
-                    best[e] = score
-                    back[e] = (p, hit[0])
-                if e == p + 1:
-                    single = True
-        if not single and here + low > best[p + 1]:
-            best[p + 1] = here + low
-            back[p + 1] = (p, -1)
-    path, at = [], n
-    while at:
-        start, i = back[at]
-        if i < 0:
-            raw = w[start:at].encode("utf-8", "surrogatepass")
-            path += [m.byte.get(b, m.unknown) for b in reversed(raw)] if m.byte else [m.unknown]
-        else:
-            path.append(i)
-        at = start
-    path.reverse()
-    return array("i", path).tobytes()
-
-
 def _ids(model: Model, s: str) -> bytes:
-    st = Stream(model)
+    st = model.stream
     st.feed(s)
-    return array("i", st.finish()).tobytes()
+    return st.finish().tobytes()
 
 
 class Stream:
-    """Encodes normalised text portion by portion; `feed` and `finish` return committed ids."""
+    """Encodes normalised text portion by portion; `take` and `finish` return committed ids.
+
+    What is kept between portions is the text, scores and backpointers from the last committed
+    boundary on: the paths' window and the portion ahead of it.
+    """
 
     def __init__(self, model: Model):
         self.m = model
-        self.text = ""  # from `base` on
-        self.base = 0  # the last committed boundary
+        self.text = ""  # from the last committed boundary on
         self.pos = 0  # starts before it are done
-        self.best = [0.0]  # by position from base on
-        self.back: list[tuple[int, int] | None] = [None]
-        self.out: list[int] = []
-        self.widest = 1  # most positions ever kept
+        self.far = 0  # the furthest position that some path reaches
+        self.best, self.back = [0.0], [(0, -1)]  # by position
+        self.out = array("i")
+        self.commits = 0
+        self.widest = 0  # most positions ever open at once
 
     def feed(self, portion: str) -> None:
         self.text += portion
-        self._run(self.base + len(self.text) - self.m.longest)
+        self._run(len(self.text) - self.m.longest)  # each start needs its longest piece's text ahead
 
-    def finish(self) -> list[int]:
-        end = self.base + len(self.text)
-        self._run(end)
-        self._commit(end)
-        out, self.out = self.out, []
-        return out
+    def finish(self) -> array:
+        self._run(len(self.text))
+        if self.text:
+            self._commit(0, len(self.text))
+        self.text, self.pos, self.far, self.best, self.back = "", 0, 0, [0.0], [(0, -1)]
+        return self.take()
 
-    def take(self) -> list[int]:
+    def take(self) -> array:
         """The ids committed since the last call."""
-        out, self.out = self.out, []
+        out, self.out = self.out, array("i")
         return out
 
     def _run(self, stop: int) -> None:
-        """Starts up to `stop`, which all have their longest piece's text (or the text's end) ahead."""
-        m, trie, longest = self.m, self.m.trie, self.m.longest
-        text, best, back, base = self.text, self.best, self.back, self.base
+        """Takes every start before `stop`, which have their longest piece's text (or the text's end) ahead."""
+        p, far, done = self.pos, self.far, 0
+        if p >= stop:
+            return
+        text, root, low, longest = self.text, self.m.root, self.m.unknown_score, self.m.longest
         n = len(text)
-        p, stop = self.pos - base, stop - base
+        best, back = self.best, self.back
+        best += [_WORST] * (n + 1 - len(best))
+        back += [(0, -1)] * (n + 1 - len(back))
         while p < stop:
-            if p and len(best) == p + 1:  # nothing crosses: all paths run through here
-                self._commit(base + p)
-                text, best, back, base = self.text, self.best, self.back, self.base
-                n, stop, p = len(text), stop - p, 0
-            elif p > 4 * longest and p % longest == 0:
-                if (meet := self._meet(p)) > 0:
-                    self._commit(base + meet)
-                    text, best, back, base = self.text, self.best, self.back, self.base
-                    n, stop, p = len(text), stop - meet, p - meet
-            here = best[p]
-            if here is None:
-                p += 1
-                continue
-            single = False
-            for e in range(p + 1, min(n, p + longest) + 1):
-                hit = trie.get(text[p:e], 0)
-                if hit is None:
-                    continue
-                if hit == 0:
+            if p == far:  # no piece crosses: all surviving paths run through here
+                if p > done:
+                    self._commit(done, p)
+                    done = p
+                    best[p] = 0.0
+            elif p - done > 4 * longest and not (p - done) % longest and (meet := self._meet(p, far, done)) > done:
+                self.widest = max(self.widest, far - done)
+                self._commit(done, meet)
+                done, less = meet, best[meet]
+                for k in range(meet, far + 1):
+                    best[k] -= less
+            here, single, node, e = best[p], False, root, p
+            while e < n:
+                node = node.get(text[e])
+                if node is None:
                     break
-                single = single or e == p + 1
-                while len(best) <= e:
-                    best.append(None)
-                    back.append(None)
-                score = here + hit[1]
-                if best[e] is None or score > best[e]:
-                    best[e] = score
-                    back[e] = (p, hit[0])
-            if not single:
-                if len(best) <= p + 1:
-                    best.append(None)
-                    back.append(None)
-                score = here + m.unknown_score
-                if best[p + 1] is None or score > best[p + 1]:
-                    best[p + 1] = score
-                    back[p + 1] = (p, -1)
+                e += 1
+                hit = node.get(0)
+                if hit:
+                    score = here + hit[1]
+                    if score > best[e]:
+                        best[e] = score
+                        back[e] = (p, hit[0])
+                        if e > far:
+                            far = e
+                    if e == p + 1:
+                        single = True
+            if not single and here + low > best[p + 1]:
+                best[p + 1] = here + low
+                back[p + 1] = (p, -1)
+                if p >= far:
+                    far = p + 1
             p += 1
-        self.widest = max(self.widest, len(best))
-        self.pos = base + p
-
-    def _meet(self, p: int) -> int:
+        self.widest = max(self.widest, far - done)
+        if done:
+            self.text = text[done:]
+            self.best = best[done : far + 1]
+            self.back = [(start - done, i) for start, i in back[done : far + 1]]
+        self.pos, self.far = p - done, far - done
+
+    def _meet(self, p: int, far: int, done: int) -> int:
         """The last boundary that the paths to all positions still open share."""
-        live = [e for e in range(p, len(self.best)) if self.best[e] is not None]
-        while len(set(live)) > 1:
-            far = max(live)
-            live = [self.back[e][0] if e == far else e for e in live]
-        return live[0]
-
-    def _commit(self, boundary: int) -> None:
-        m, e = self.m, boundary - self.base
-        path = []
-        at = e
-        while at:
-            start, i = self.back[at]
+        back, live = self.back, {e for e in range(p, far + 1) if self.best[e] > _WORST}
+        while len(live) > 1:
+            top = max(live)
+            live.remove(top)
+            live.add(back[top][0] if top > done else done)
+        return live.pop()
+
+    def _commit(self, done: int, e: int) -> None:
+        """Commits the ids of the best path from the boundary `done` to the boundary `e`."""
+        self.commits += 1
+        m, back, path, at = self.m, self.back, [], e
+        while at > done:
+            start, i = back[at]
             if i < 0:
                 raw = self.text[start:at].encode("utf-8", "surrogatepass")
                 path += [m.byte.get(b, m.unknown) for b in reversed(raw)] if m.byte else [m.unknown]
             else:
                 path.append(i)
             at = start
-        self.out += reversed(path)
-        self.widest = max(self.widest, len(self.best))
-        low = self.best[e] if e < len(self.best) else 0.0
-        self.text, self.base = self.text[e:], boundary
-        self.best = [None if x is None else x - low for x in self.best[e:]] or [0.0]
-        self.back = [None if k == 0 or x is None else (x[0] - e, x[1]) for k, x in enumerate(self.back[e:])] or [None]
+        path.reverse()
+        self.out.extend(path)
+        if e - done > self.widest:
+            self.widest = e - done
 
 
 _MODELS: dict[str, Model] = {}
