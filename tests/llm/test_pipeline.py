@@ -30,7 +30,7 @@ def by_hand(spark, sf_dir):
         first[r] = min(first.get(r, d), d)
     docs = sorted(first.values())
     model = secrets.train_from(spark.createDataFrame([(d[1],) for d in docs], "text string"))
-    docs = [(i, secrets.hide(t, secrets.spans(t, model)[1])) for i, t, _ in docs]
+    docs = [(i, secrets.hide(t, secrets.spans(t, secrets.scorer(model))[1])) for i, t, _ in docs]
     return docs
 
 
