@@ -9,12 +9,16 @@ from cubeline.llm import feature_digest, html_diff, mpeg_audio, packing, revisit
 from cubeline.llm.common import importable
 
 
+#: The byte-level vocabulary that texts are counted and packed with, and its end mark.
+BYTE_BPE, END = "byte_bpe_50k.json", 50_256
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,7 +26,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call starts a cache of its own, so its figures are those of a cold cache."""
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +34,7 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_tokens())
+    return packing.pack_texts(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), END)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def op5_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_viterbi.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sp_viterbi.digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cubeline.llm.common import fresh_path, path_exists, stage, whole_text
 
 OVER = 1024
-_LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
+_LOADED: dict[str, Callable[[str], Sequence[int]]] = {}
 
 #: Texts made of these alone are cut into words alike by both libraries (tests compare them on
 #: every one); others, whose classes may differ between Unicode versions, go to the file's own library.
@@ -50,8 +50,8 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _byte_level(path: str) -> Callable[[list[str]], list[int]] | None:
-    """A counter for a byte-level BPE file by ranks, or None if the file asks for more than that."""
+def _byte_level(path: str) -> Callable[[str], Sequence[int]] | None:
+    """An encoder for a byte-level BPE file by ranks, or None if the file asks for more than that."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -72,27 +72,25 @@ def _byte_level(path: str) -> Callable[[list[str]], list[int]] | None:
         return None
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
     odd = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
-    def count(texts: list[str]) -> list[int]:
-        plain = _PLAIN.fullmatch
-        return [
-            len(fast.encode_ordinary(t)) if plain(t) and not odd.search(t) else len(whole.encode(t, add_special_tokens=False).ids)
-            for t in texts
-        ]
+    def encode(t: str) -> Sequence[int]:
+        return fast.encode_ordinary(t) if _PLAIN.fullmatch(t) and not odd.search(t) else whole.encode(t, add_special_tokens=False).ids
 
-    return count
+    return encode
 
 
-def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """texts -> numbers of tokens, without begin, end or added special tokens; one for each process."""
+def encoder(path: str) -> Callable[[str], Sequence[int]]:
+    """text -> token ids, without begin, end or added special tokens; one for each process."""
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            _LOADED[path] = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+            _LOADED[path] = lambda t: sp.encode(t)
         elif path.endswith(".json"):
             if (fast := _byte_level(path)) is None:
                 from tokenizers import Tokenizer
@@ -100,18 +98,23 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
                 whole = Tokenizer.from_file(path)
                 whole.no_truncation()
                 whole.no_padding()
-                fast = lambda texts: [len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
+                fast = lambda t: whole.encode(t, add_special_tokens=False).ids
             _LOADED[path] = fast
         else:
             import public_tokenizers
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _LOADED[path] = lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
+            _LOADED[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return _LOADED[path]
 
 
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """texts -> numbers of tokens."""
+    encode = encoder(path)
+    return lambda texts: [len(encode(t)) for t in texts]
+
+
 def tokenizer_digest(path: str) -> str:
     """Of the file, the library's version and the settings counts depend on."""
     from importlib.metadata import version

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cubeline.llm import packing, secrets, simhash, toxicity
@@ -37,16 +39,18 @@ def by_hand(spark, sf_dir):
 def test_against_brute_force(spark):
     rows = corpus_pipeline.run(spark, DIR).collect()
     docs = by_hand(spark, DIR)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 50_256] for i, t in docs}
     have = {}
     for r in rows:
-        have.setdefault(r.doc_id, []).append(r)
-    assert sorted(have) == sorted(i for i, _ in docs)
-    for i, t in docs:
-        assert sum(r.n_tokens for r in have[i]) == len(t.encode()) + 1
-    sizes = sorted((r.n_tokens for r in rows), reverse=True)
-    assert len({r.shard for r in rows}) == 1  # so few pieces are one shard
+        assert r.n_tokens == len(r.ids) <= r.bin_length
+        for i, at, a, b in zip(r.doc_ids, r.starts, r.offsets, [*r.offsets[1:], r.n_tokens]):
+            have.setdefault(i, {})[at] = r.ids[a:b]
+    assert {i: sum((p[at] for at in sorted(p)), []) for i, p in have.items()} == want
+    assert len({r.shard for r in rows}) == 1  # so few texts are one shard
+    sizes = sorted((len(x) for p in have.values() for x in p.values()), reverse=True)
     _, bins, _ = packing.solve(sizes, packing.costs_of(packing.LENGTHS))
-    assert sorted(bins) == sorted({(r.bin): r.bin_length for r in rows}.values())
+    assert sorted(bins) == sorted(r.bin_length for r in rows)
 
 
 def test_stages_keep_columns_and_edge_cases(spark, tmp_path):
@@ -59,7 +63,7 @@ def test_stages_keep_columns_and_edge_cases(spark, tmp_path):
     got = sorted(map(str, docs.collect()))
     assert len(got) == 4 and any("token=[SECRET]" in g for g in got) and not any("doc_id=8" in g for g in got)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert packed.count() == 4
+    assert sorted(str(i) for r in packed.collect() for i in r.doc_ids) == sorted(str(r.doc_id) for r in docs.collect())
     empty = docs.limit(0)
     for name, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, str(tmp_path))
