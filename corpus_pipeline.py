@@ -3,7 +3,8 @@
 1. toxicity: documents that the classifier rejects go.
 2. near_duplicates: of each SimHash component, the document of the least doc_id stays.
 3. secrets: secret spans are replaced by a mark; every document stays.
-4. packing: the documents are packed into sequences; one row for each piece of a document.
+4. packing: the documents are encoded and packed; one row for each sequence, with its token ids and
+   the documents and places its parts are from.
 
 The first three return the columns they got.  Null texts count as empty; tables without rows
 run through.  SQL can't express the stages, so ORACLE_SQL is None and tests hold run() against
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cubeline.llm import packing, secrets, simhash, toxicity
 from cubeline.llm.common import importable, stage
+from cubeline.llm.queries import BYTE_BPE, END, tokenizer
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return packing.pack(docs, packing.byte_tokens())
+    return packing.pack_texts(docs, tokenizer(BYTE_BPE), END)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
