@@ -1,10 +1,18 @@
 """MPEG audio: a frame parser, and a container that keeps bytes in frames without loss.
 
-Reading (`parse`): ID3v2 tags in front, ID3v1 and APE tags behind; frame headers of MPEG-1,
--2 and -2.5 in layers I to III, free format included; resynchronising after bytes that are no
-frame (a header counts once the next one agrees with it or the stream ends there); Xing, Info
-and VBRI tables; the CRC-16 of protected layer III frames.  A stream's duration is exact: samples over sample
-rate, as whole numbers.  Seek offsets are the byte offsets of all audio frames.
+Reading (`parse`): ID3v2 tags in front, ID3v1 and APE tags behind, with their fields; frame
+headers of MPEG-1, -2 and -2.5 in layers I to III, free format included; resynchronising after
+bytes that are no frame; Xing, Info and VBRI tables with an encoder's delay and padding; the
+CRC-16 of protected frames: of the side information in layer III, of the bit allocation in layer
+I, and of allocation and scale factor selection in layer II.
+
+A header counts while the stream is out of step only if the next one agrees with it in version,
+layer and rate, or the stream ends there.  What a lock of less than `FIRM` frames found is given
+up when a lock with other parameters follows; a firm one stands, and other frames are skipped.
+
+A stream's duration is exact: coded samples, less the delay and padding that an encoder's tag
+names, over the sample rate, as whole numbers.  Seek offsets are the byte offsets of all audio
+frames.
 
 Writing (`build`): frames of MPEG-1 layer III, mono, 48 kHz, protected.  The side information
 is zero, that is, no coded audio; the format then leaves the rest of the frame to ancillary
@@ -15,7 +23,8 @@ bit rate) is the first frame; the payload's length is in a PRIV frame of the ID3
 `media` builds the stored form from texts; `features` reads stored bytes back and needs
 nothing else.  Null text is empty, whose payload is one block of 255s.  Bytes that hold no
 frame give 0 frames, duration 0 and an empty payload; null bytes give nulls.  Texts of any
-length are stored whole; rows are independent, so repeated rows give equal values.
+length are stored whole; rows are independent, so repeated rows give equal values.  Columns of
+the caller that are named as results are replaced by them; all others come along.
 """
 
 from __future__ import annotations
@@ -40,6 +49,16 @@ _V2L1 = (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256)
 _V2L23 = (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 _HZ = (44100, 48000, 32000)
 _SIDE_MONO_V1 = 17
+# Fixed values of layer II: bits of allocation by subband, as (bits, subbands) from the lowest up, of the five tables.
+_ALLOCATION = (
+    ((4, 11), (3, 12), (2, 4)),
+    ((4, 11), (3, 12), (2, 7)),
+    ((4, 2), (3, 6)),
+    ((4, 2), (3, 10)),
+    ((4, 4), (3, 7), (2, 19)),
+)
+#: Frames after which a lock is not given up.
+FIRM = 3
 
 
 @dataclass(frozen=True)
@@ -54,6 +73,12 @@ class Header:
     samples: int
     size: int  # bytes of the frame; 0: free format
     side: int  # bytes of side information (layer III)
+    bound: int  # subbands that have an allocation for each channel (layers I and II)
+
+    @property
+    def alike(self) -> tuple[int, int, int]:
+        """What all frames of a stream share."""
+        return self.version, self.layer, self.hz
 
 
 _HEADERS: dict[bytes, Header | None] = {}
@@ -83,7 +108,8 @@ def _header(h: bytes) -> Header | None:
     size = 0 if not kbps else (12_000 * kbps // f + pad) * 4 if lay == 1 else samples // 8 * 1000 * kbps // f + pad
     mono = h[3] >> 6 == 3
     side = (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, lay, not h[1] & 1, kbps, f, pad, mono, samples, size, side if lay == 3 else 0)
+    bound = 4 * ((h[3] >> 4 & 3) + 1) if h[3] >> 6 == 1 else 32
+    return Header(version, lay, not h[1] & 1, kbps, f, pad, mono, samples, size, side if lay == 3 else 0, bound)
 
 
 def _crc_table() -> list[int]:
@@ -113,6 +139,50 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _allocation(h: Header) -> list[int]:
+    """Bits of allocation of each subband in layer II: the table follows from rate and bits a channel."""
+    channel = h.kbps // (1 if h.mono else 2)
+    if h.version != 1:
+        t = 4
+    elif not h.kbps:
+        t = 0 if h.hz == 48000 else 1
+    elif 56 <= channel <= 80 or (h.hz == 48000 and channel >= 56):
+        t = 0
+    elif channel >= 96:
+        t = 1
+    else:
+        t = 3 if h.hz == 32000 else 2
+    return [bits for bits, n in _ALLOCATION[t] for _ in range(n)]
+
+
+def _guarded(h: Header, body: bytes) -> int:
+    """How many bits after the CRC word it covers."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (min(h.bound, 32) * channels + (32 - min(h.bound, 32)))
+    bits = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    at = selections = 0
+    for sb, width in enumerate(_allocation(h)):
+        own = channels if sb < h.bound else 1
+        for _ in range(own):
+            used = bits >> (512 - at - width) & (1 << width) - 1
+            selections += (channels if own == 1 else 1) * bool(used)
+            at += width
+    return at + 2 * selections
+
+
+def checksum(h: Header, four: bytes, body: bytes) -> int:
+    """The CRC that a protected frame should carry; body: what follows the CRC word."""
+    n = _guarded(h, body)
+    c = crc16(four[2:] + body[: n // 8])
+    for k in range(n // 8 * 8, n):
+        top = (c >> 15 ^ body[k // 8] >> (7 - k % 8)) & 1 if k // 8 < len(body) else c >> 15
+        c = (c << 1 ^ (0x8005 if top else 0)) & 0xFFFF
+    return c
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -140,12 +210,19 @@ class Stream:
     table_bytes: int | None = None
     toc: bytes = b""
     tags: dict[str, bytes] = field(default_factory=dict)
-    id3v1: bool = False
-    ape: bool = False
+    id3v1: dict[str, str | int] | None = None
+    ape: dict[str, bytes] | None = None
+    delay: int = 0  # samples that an encoder put in front, and behind
+    padding: int = 0
+
+    @property
+    def played(self) -> int:
+        """Samples without an encoder's delay and padding."""
+        return max(0, self.samples - self.delay - self.padding)
 
     @property
     def duration_us(self) -> int:
-        return self.samples * 1_000_000 // self.hz if self.hz else 0
+        return self.played * 1_000_000 // self.hz if self.hz else 0
 
 
 def _id3v2(d: bytes, at: int, tags: dict[str, bytes]) -> int:
@@ -171,27 +248,60 @@ def _id3v2(d: bytes, at: int, tags: dict[str, bytes]) -> int:
     return end + 10 * bool(flags & 0x10)
 
 
+def _id3v1(tag: bytes) -> dict[str, str | int]:
+    """The fields of the 128 bytes at the end; a comment of 28 bytes leaves room for a track."""
+    text = lambda b: b.split(b"\0")[0].rstrip(b" ").decode("latin-1")
+    out: dict[str, str | int] = {n: text(tag[a:e]) for n, a, e in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))}
+    if not tag[125] and tag[126]:
+        out["comment"], out["track"] = text(tag[97:125]), tag[126]
+    return out | {"genre": tag[127]}
+
+
+def _ape(items: bytes, count: int) -> dict[str, bytes]:
+    """The items of an APE tag, as far as they are whole."""
+    out, k = {}, 0
+    for _ in range(count):
+        n, end = int.from_bytes(items[k : k + 4], "little"), items.find(b"\0", k + 8)
+        if k + 8 > len(items) or end < 0 or end + 1 + n > len(items):
+            break
+        out[items[k + 8 : end].decode("latin-1")] = items[end + 1 : end + 1 + n]
+        k = end + 1 + n
+    return out
+
+
 def parse(d: bytes) -> Stream:
     """Everything a stream of frames tells, in one pass."""
-    s, at, end = Stream(), 0, len(d)
-    while (nxt := _id3v2(d, at, s.tags)) != at:
+    tags: dict[str, bytes] = {}
+    at, end = 0, len(d)
+    while (nxt := _id3v2(d, at, tags)) != at:
         at = nxt
+    old = ape = None
     if end - at >= 128 and d[end - 128 : end - 125] == b"TAG":
-        s.id3v1, end = True, end - 128
+        old, end = _id3v1(d[end - 128 : end]), end - 128
     if end - at >= 32 and d[end - 32 : end - 24] == b"APETAGEX":
-        n = int.from_bytes(d[end - 20 : end - 16], "little") + 32 * (d[end - 9] >> 7)
-        s.ape, end = True, max(at, end - n)
-    first, free, synced = None, 0, False
-    kept = bytes
+        size, count = int.from_bytes(d[end - 20 : end - 16], "little"), int.from_bytes(d[end - 16 : end - 12], "little")
+        ape = _ape(d[max(at, end - size) : end - 32], count)
+        end = max(at, end - size - 32 * (d[end - 9] >> 7))
+    begin, first, free, synced = at, None, 0, False
+    s = Stream(tags=tags, id3v1=old, ape=ape)
     while at + 4 <= end:
-        h = header(kept(d[at : at + 4]))
+        h = header(d[at : at + 4])
         size = h.size if h else 0
         if h and not size:  # free format: the frame ends where the next alike begins
             size = free + h.padding if free else _free_size(d, at, end, h)
-            free = free or (size - h.padding if size else 0)
-        good = bool(size) and at + size <= end and (first is None or (h.version, h.layer, h.hz) == first)
-        if good and not synced:
-            good = at + size + 4 > end or header(kept(d[at + size : at + size + 4])) is not None
+        good = bool(size) and at + size <= end
+        if good and synced:
+            good = h.alike == first
+        elif good:
+            after = header(d[at + size : at + size + 4]) if at + size + 4 <= end else None
+            good = at + size + 4 > end or (after is not None and after.alike == h.alike)
+            if good and first is not None and h.alike != first:
+                # another lock: a weak one before it was none
+                good = s.frames < FIRM and after is not None
+                if good:
+                    s = Stream(tags=tags, id3v1=old, ape=ape, resyncs=s.resyncs, skipped=at - begin)
+                    first, free = None, 0
+                    size = h.size or _free_size(d, at, end, h)
         if not good:
             nxt = d.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
@@ -200,15 +310,17 @@ def parse(d: bytes) -> Stream:
             at, synced = nxt, False
             continue
         synced = True
+        if not h.kbps:
+            free = free or size - h.padding
         body = at + 4 + 2 * h.protected + h.side
         if first is None:
-            first = (h.version, h.layer, h.hz)
+            first = h.alike
             s.version, s.layer, s.hz = first
             if _table(d, at, at + size, h, s):
                 at += size
                 continue
-        if h.protected and h.layer == 3:
-            if crc16(d[at + 2 : at + 4] + d[at + 6 : body]) == d[at + 4] << 8 | d[at + 5]:
+        if h.protected:
+            if checksum(h, d[at : at + 4], d[at + 6 : at + size if h.layer < 3 else body]) == d[at + 4] << 8 | d[at + 5]:
                 s.crc_good += 1
             else:
                 s.crc_bad += 1
@@ -247,6 +359,11 @@ def _table(d: bytes, at: int, end: int, h: Header, s: Stream) -> bool:
                     k += 4
             if flags & 4:
                 s.toc = bytes(d[k : k + 100])
+                k += 100
+            k += 4 * bool(flags & 8)
+            if d[k : k + 4] in (b"LAME", b"Lavc", b"Lavf") and k + 24 <= end:  # the encoder's tag; 12 bits each
+                both = int.from_bytes(d[k + 21 : k + 24], "big")
+                s.delay, s.padding = both >> 12, both & 0xFFF
             return True
     k = at + 36
     if d[k : k + 4] == b"VBRI" and k + 26 <= end:
@@ -301,7 +418,7 @@ def payload_of(media: bytes, s: Stream) -> bytes:
 
 def feature(s: Stream) -> str:
     rates = ",".join(f"{k}x{n}" for k, n in sorted(s.kbps.items()))
-    return f"mpeg{s.version};layer={s.layer};hz={s.hz};frames={s.frames};us={s.duration_us};kbps={rates};table={s.table}:{s.table_frames};crc={s.crc_good}/{s.crc_bad};resyncs={s.resyncs}"
+    return f"mpeg{s.version};layer={s.layer};hz={s.hz};frames={s.frames};samples={s.played};us={s.duration_us};kbps={rates};table={s.table}:{s.table_frames};crc={s.crc_good}/{s.crc_bad};resyncs={s.resyncs}"
 
 
 def _build(batches):
