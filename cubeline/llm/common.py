@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,75 +81,70 @@ def ordered_buckets(df: DataFrame, key: Column, buckets: int, *, before: bool, a
     by (_bucket, _side, _key).  Texts are shuffled once.  The driver gets a bounded sample of
     keys and two keys a bucket (four with `mark`), never rows.
     """
-    keyed = df.withColumn("_key", key)
+    keyed = df.withColumn("_key", F.translate(key, _BETWEEN, ""))
     keys = keyed.select("_key") if mark is None else keyed.select("_key", mark.alias("_mark"))
     # the keys whose hash is under a threshold: about as many as asked for, the same in every run
     share = min(1.0, min(SAMPLE_PER_BUCKET * buckets, SAMPLE_MOST) / max(1, df.count()))
     drawn = keys.select("_key").where(F.xxhash64("_key") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).collect()
     seen = sorted(r[0] for r in drawn)
     cuts = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
-
-    def bucket_of(it):
-        for a in it:
-            yield pa.array([bisect.bisect_right(cuts, k) for k in a.to_pylist()], pa.int32())
-
-    dealt = F.arrow_udf(_typed(bucket_of, "bucket"), "int")
-    by_bucket = keys.select(dealt("_key").alias("b"), *keys.columns).groupBy("b")
+    own = _bucket_of(F.col("_key"), cuts)
+    dealt = keys.withColumn("b", own)
     marks = [] if mark is None else [F.min_by("_mark", "_key"), F.max_by("_mark", "_key")]
-    ends = {r[0]: tuple(r[1:]) for r in by_bucket.agg(F.min("_key"), F.max("_key"), *marks).collect()}
+    ends = {r[0]: tuple(r[1:]) for r in dealt.groupBy("b").agg(F.min("_key"), F.max("_key"), *marks).collect()}
     full = sorted(ends)
-    more: dict[str, list[tuple[int, int]]] = {}
+    more: dict[str, list[int]] = {}  # of a key: the buckets it comes to besides its own, with the side
     for at, b in enumerate(full):
         prev = full[at - 1] if at else (full[-1] if wrap else None)
         if after and prev is not None:
-            more.setdefault(ends[b][0], []).append((prev, 1))
+            more.setdefault(ends[b][0], []).append(prev * 4 + 1)
         nxt = full[at + 1] if at + 1 < len(full) else None
         if before and nxt is not None:
-            more.setdefault(ends[b][1], []).append((nxt, -1))
+            more.setdefault(ends[b][1], []).append(nxt * 4 + 3)
     if mark is not None:
-        for k, b, side in _unlike(keys.withColumn("b", dealt("_key")), ends):
+        for k, b, side in _unlike(dealt, ends):
             if after if side == 1 else before:
-                more.setdefault(k, []).append((b, side))
-
-    def targets(it):
-        for a in it:
-            out = []
-            for k in a.to_pylist():
-                own = [bisect.bisect_right(cuts, k) * 4]
-                out.append(own + [b * 4 + (side % 4) for b, side in more.get(k, ())])
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    spread = F.arrow_udf(_typed(targets, "targets"), "array<int>")
+                more.setdefault(k, []).append(b * 4 + side % 4)
+    edges = df.sparkSession.createDataFrame(sorted(more.items()), "_key string, _also array<int>")  # four rows a bucket at most
     code = F.col("_to")
     return (
-        keyed.withColumn("_to", F.explode(spread("_key")))
+        keyed.join(F.broadcast(edges), "_key", "left")
+        .withColumn("_to", F.explode(F.concat(F.array(own * 4), F.coalesce("_also", F.array().cast("array<int>")))))
         .withColumn("_bucket", F.floor(code / 4).cast("int"))
         .withColumn("_side", F.when(code % 4 == 3, -1).otherwise(code % 4).cast("int"))
-        .drop("_to")
+        .drop("_to", "_also")
         .repartitionById(buckets, F.col("_bucket"))
         .sortWithinPartitions("_bucket", "_side", "_key")
     )
 
 
+#: Stands between the boundary keys of a plan; keys are without it.
+_BETWEEN = "\x02"
+
+
+def _bucket_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the sorted cuts are not above the key: a binary search over one literal array."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(_BETWEEN.join(cuts)), _BETWEEN, -1)
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda n, half: F.when(F.get(table, n + half - 1) <= key, n + half).otherwise(n))
+
+
 def _unlike(keys: DataFrame, ends: dict[int, tuple[str, str, str, str]]) -> list[tuple[str, int, int]]:
     """(key, bucket it comes to, side) of the rows nearest to an edge that are of another mark than those on both sides of it.
 
-    ends: lowest and highest key of each bucket and their marks.
+    keys: _key, _mark, b; ends: lowest and highest key of each bucket and their marks.
     """
     full = sorted(ends)
     joins = [(a, b) for a, b in zip(full, full[1:], strict=False) if ends[a][3] == ends[b][2]]
     if not joins:
         return []
     low, high = {b: ends[b][2] for _, b in joins}, {a: ends[a][3] for a, _ in joins}
-
-    def inner(marks):
-        def f(b: pa.Array, m: pa.Array) -> pa.Array:
-            return pa.array([x in marks and marks[x] != y for x, y in zip(b.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
-
-        f.__annotations__ = {"b": pa.Array, "m": pa.Array, "return": pa.Array}
-        return F.arrow_udf(f, "boolean")("b", "_mark")
-
-    seconds = {r[0]: (r[1], r[2]) for r in keys.groupBy("b").agg(F.min(F.when(inner(low), F.col("_key"))), F.max(F.when(inner(high), F.col("_key")))).collect()}
+    edges = keys.sparkSession.createDataFrame([(b, low.get(b), high.get(b)) for b in sorted(low | high)], "b int, _low string, _high string")  # a row a bucket
+    inner = lambda m: F.when(F.col(m) != F.col("_mark"), F.col("_key"))
+    found = keys.join(F.broadcast(edges), "b").groupBy("b").agg(F.min(inner("_low")), F.max(inner("_high"))).collect()
+    seconds = {r[0]: (r[1], r[2]) for r in found}
     out = []
     for side, order, first, last in ((-1, full, 2, 3), (1, full[::-1], 3, 2)):
         at = other = None  # the last (key, mark) met, and the last of another mark
@@ -169,17 +161,6 @@ def _unlike(keys: DataFrame, ends: dict[int, tuple[str, str, str, str]]) -> list
     return out
 
 
-def _typed(f: Callable, name: str) -> Callable:
-    from collections.abc import Iterator
-
-    def g(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from f(it)
-
-    g.__name__ = name
-    g.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return g
-
-
 def long_key(c: Column) -> Column:
     """A string that sorts as a long does, null first."""
     shifted = c.cast("decimal(20,0)") + F.expr(f"{2**63}BD")

@@ -7,17 +7,20 @@ are cut into lines, one for each block; the lines are aligned by longest common
 and a line that the partner shares goes.
 
 Differencing alone can't tell a page's article from a copy of it next door, nor an advert that
-only one page carries (README, with figures).  So two things that markup states count more:
-lines inside `article` or `main` stay even if they are shared, and lines inside elements that
-name themselves menu, header, footer, sidebar, notice, advert, form, comments, script or style
-go even if they are not.  All other lines are decided by the differencing, beside an `article`
-or `main` too.
+only one page carries (README, with figures).  So markup corrects it in two ways: a shared
+line inside `article` or `main` stays, and a line that is not shared goes if it is inside an
+element that names itself menu, header, footer, sidebar, notice, advert, form, comments, script
+or style.  `n_lines`, `n_shared`, `n_differenced` and `n_by_markup` tell, for each page, how many lines
+it has, how many of them the partner shares, and how many went by differencing and by markup.
 
 Whole pages are read; character references are decoded; white space within a block becomes one
 space; blocks are joined by one newline.  Comments, unclosed and nested paragraphs and
 truncated pages are handled as they stand.  Null html is empty and gives an empty text.  A page
 without partner keeps its lines.  A null URL is a host of its own kind ("").  Repeated rows and
 other copies are never partners, and a host with nothing but copies of one page has none.
+Columns other than the id, the URL and the html stay out of the result.
+
+Alignment takes memory in proportion to the lines (Hirschberg's division over rows of bits).
 
 The order is dealt in ranges with both edge neighbours and, where copies go on over an edge, the
 nearest page there that is no copy, so each page meets its partner in one
@@ -29,10 +32,12 @@ from __future__ import annotations
 
 import html as _html
 import re
-from urllib.parse import urlsplit
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeline.llm.common import long_key, ordered_buckets, partitions_for
@@ -80,6 +85,7 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # names on the stack
     kind, at, low = FREE, 0, None
 
     def flush():
@@ -102,18 +108,22 @@ def lines(page: str) -> list[Line]:
         if name not in _INLINE:
             flush()
         if m[1]:  # closing
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 if _kind_at(stack, name) != kind:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
                 kind = stack[-1][1] if stack else FREE
             continue
         if name in _VOID:
             continue
-        if name in _ENDS_P:
+        if name in _ENDS_P and opened["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
+                    opened.subtract(n for n, _ in stack[k:])
                     del stack[k:]
                     kind = stack[-1][1] if stack else FREE
                     break
@@ -133,6 +143,7 @@ def lines(page: str) -> list[Line]:
             at = len(page) if close < 0 else close + 1
             continue
         stack.append((name, inner))
+        opened[name] += 1
         kind = inner
     if at < len(page):
         text.append(page[at:])
@@ -148,56 +159,118 @@ def _kind_at(stack: list[tuple[str, int]], name: str) -> int:
     return stack[k - 1][1] if k else FREE
 
 
+#: Cells of an alignment that are worked out with all rows kept; larger ones are divided.
+_CELLS = 1 << 24
+#: Bits of the masks that are remembered within one pass.
+_MASKS = 1 << 26
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
-    """Numbers of the lines of a in a longest common subsequence with b; rows of bits, a word at a time."""
+    """Numbers of the lines of a in a longest common subsequence with b."""
     both = set(a) & set(b)
+    name: dict[str, int] = {}
     ia = [i for i, x in enumerate(a) if x in both]
-    b = [x for x in b if x in both]
-    out = set()
-    while ia and b and a[ia[0]] == b[0]:
-        out.add(ia.pop(0))
-        b = b[1:]
-    while ia and b and a[ia[-1]] == b[-1]:
-        out.add(ia.pop())
-        b = b[:-1]
-    if not ia or not b:
-        return out
-    where: dict[str, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
-    for i in ia:
-        u = v & where.get(a[i], 0)
+    x = [name.setdefault(a[i], len(name)) for i in ia]
+    y = [name[t] for t in b if t in both]
+    out: set[int] = set()
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        while i0 < i1 and j0 < j1 and x[i0] == y[j0]:
+            out.add(ia[i0])
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and x[i1 - 1] == y[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+            out.add(ia[i1])
+        if i0 == i1 or j0 == j1:
+            continue
+        if (i1 - i0) * (j1 - j0) <= _CELLS:
+            out.update(ia[i0 + k] for k in _aligned(x[i0:i1], y[j0:j1]))
+        elif i1 - i0 == 1:
+            if x[i0] in y[j0:j1]:
+                out.add(ia[i0])
+        else:  # where the two halves of a part b
+            mid = (i0 + i1) // 2
+            head = _lengths(x[i0:mid], y[j0:j1])
+            tail = _lengths(x[mid:i1][::-1], y[j0:j1][::-1])[::-1]
+            cut = j0 + int(np.argmax(head + tail))
+            todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+    return out
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of a: bit j is 0 where a longest common subsequence with b grows at j."""
+    places: dict[int, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    full, v = (1 << len(b)) - 1, (1 << len(b)) - 1
+    masks: dict[int, int] = {}
+    for x in a:
+        m = masks.get(x)
+        if m is None:
+            at = places.get(x, ())
+            if len(at) < 9:
+                m = sum(1 << j for j in at)
+            else:
+                bits = np.zeros(len(b), np.uint8)
+                bits[at] = 1
+                m = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if (len(masks) + 1) * len(b) > _MASKS:
+                masks.clear()
+            masks[x] = m
+        u = v & m
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    i, j = len(ia), len(b)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a with each prefix of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
             j -= 1
         else:
             i -= 1
             if not i or rows[i - 1] >> (j - 1) & 1:
-                out.add(ia[i])
+                out.append(i)
                 j -= 1
     return out
 
 
+def decided(own: list[Line], partner: list[Line] | None) -> tuple[str, int, int, int, int]:
+    """(text, lines, shared lines, lines that went by differencing, lines that went by markup)."""
+    same = shared([t for t, _ in own], [t for t, _ in partner]) if partner else set()
+    kept, differenced, marked = [], 0, 0
+    for n, (t, k) in enumerate(own):
+        if n in same and k != KEPT:
+            differenced += 1
+        elif k == GONE:
+            marked += 1
+        else:
+            kept.append(t)
+    return "\n".join(kept), len(own), len(same), differenced, marked
+
+
 def main_text(own: list[Line], partner: list[Line] | None) -> str:
-    """The lines that stay: not shared with the partner, unless the markup says otherwise."""
-    gone = shared([t for t, _ in own], [t for t, _ in partner]) if partner else set()
-    return "\n".join(t for n, (t, k) in enumerate(own) if k == KEPT or (k == FREE and n not in gone))
+    """The lines that stay."""
+    return decided(own, partner)[0]
 
 
-def place(url: str | None) -> tuple[str, str]:
-    """Host and path of a URL, as they sort: lower-case host without port, path without index pages or a trailing slash."""
-    try:
-        u = urlsplit((url or "").strip())
-        host = (u.hostname or "").lower()
-        path = u.path
-    except ValueError:
-        host, path = "", url or ""
-    return host, re.sub(r"(\.html?|/)$", "", path) or "/"
+def place(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL, as they sort: lower-case host without port, path without a page's ending or a trailing slash."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), r"(\.html?|/)$", "")
+    return host, F.when(path == "", "/").otherwise(path)
 
 
 def _common(a: str, b: str) -> int:
@@ -224,6 +297,10 @@ def nearest(host: str, path: str, around: list[tuple[str, str, str]]) -> int | N
 _TOGETHER = 8 << 20
 
 
+_OUT = [("page_id", "long"), ("url", "string"), ("text", "string"), ("n_chars", "long"), ("n_lines", "long"), ("n_shared", "long"), ("n_differenced", "long"), ("n_by_markup", "long")]
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+
+
 def _run(batches):
     """Neighbouring rows of one host and html are a run; the rows at its two sides are the neighbours of them all."""
     rows, held = [], 0
@@ -238,26 +315,26 @@ def _run(batches):
     def batch():
         nonlocal rows, held
         cols, rows, held = list(zip(*rows, strict=True)), [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, (_, k) in zip(cols, _OUT, strict=True)], [n for n, _ in _OUT])
 
     def solve(nxt):
         nonlocal held
         around = [x for x in (before, nxt) if x is not None]
-        made: dict[int | None, str] = {}
+        made: dict[int | None, tuple] = {}
         for side, i, u, p in run:
             if side == 0:
                 k = nearest(host, p, [x[:3] for x in around])
                 if k not in made:
-                    made[k] = main_text(own(), None if k is None else around[k][3]())
-                rows.append((i, u, made[k], len(made[k])))
-                held += len(made[k]) + len(u or "")
+                    made[k] = decided(own(), None if k is None else around[k][3]())
+                text, *counts = made[k]
+                rows.append((i, u, text, len(text), *counts))
+                held += len(text) + len(u or "")
                 if held > _TOGETHER:
                     yield batch()
 
     for b in batches:
         # the rows after a bucket have side 1, those before it -1
-        for bk, side, i, u, new in zip(*(b.column(c).to_pylist() for c in ("_bucket", "_side", "page_id", "url", "html")), strict=True):
-            h, p = place(u)
+        for bk, side, i, u, new, h, p in zip(*(b.column(c).to_pylist() for c in ("_bucket", "_side", "page_id", "url", "html", "_host", "_path")), strict=True):
             if bk != bucket:
                 yield from solve(None)
                 bucket, before, run, host, page = bk, None, [], h, None
@@ -274,17 +351,12 @@ def _run(batches):
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each page."""
+    """page_id, url, text, n_chars, and the counts of lines for each page."""
+    host, path = place(F.col("url"))
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-
-    def keys(it):
-        for a in it:
-            yield pa.array(["\x01".join(place(u)) for u in a.to_pylist()], pa.string())
-
-    from cubeline.llm.common import _typed
-
-    spot = F.arrow_udf(_typed(keys, "place"), "string")
-    key = F.concat_ws("\x00", spot("url"), long_key(F.col("page_id")), F.md5(F.concat_ws("\x00", "url", "html").cast("binary")))
-    mark = F.md5(F.concat_ws("\x00", F.substring_index(spot("url"), "\x01", 1), "html").cast("binary"))
+    base = base.withColumns({"_host": host, "_path": path})
+    key = F.concat_ws("\x00", F.concat("_host", F.lit("\x01"), "_path"), long_key(F.col("page_id")), F.md5(F.concat_ws("\x00", "url", "html").cast("binary")))
+    mark = F.md5(F.concat_ws("\x00", "_host", "html").cast("binary"))
     n = partitions_for(pages.sparkSession, pages)
-    return ordered_buckets(base, key, n, before=True, after=True, mark=mark).select("_bucket", "_side", "page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    dealt = ordered_buckets(base, key, n, before=True, after=True, mark=mark)
+    return dealt.select("_bucket", "_side", "page_id", "url", "html", "_host", "_path").mapInArrow(_run, ", ".join(map(" ".join, _OUT)))
