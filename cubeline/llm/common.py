@@ -47,7 +47,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what stage() wrote, once nothing that is still to run needs it."""
+    p = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    p.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -14,15 +14,17 @@ At an anchor nothing is emitted for all pairs: a forest that joins the linked me
 at most one edge for each member.  The links themselves are all tested: small anchors by blocks
 of XOR and bit counts, large ones by looking up each of the 2,081 words around a fingerprint,
 which takes time in proportion to the members.  An anchor of more than `HOT` members is split
-first: the bits are cut into three parts, in one of which linked members must agree, and each
-part's value makes an anchor of its own.
+first: the bits that the anchor leaves free are cut into three parts, in one of which linked
+members must agree, and each part's value makes an anchor of its own, of about a 1,024th of
+the members or less.
 Components come from alternating large-star and small-star rounds over the edges.
 
 Equal fingerprints are one row from the start, so groups of copies cost nothing here.
 
 Null text is empty; an empty text has fingerprint zero and links like any other.  A table
 without rows gives none.  Repeated doc_ids come out as often as they went in; their copies
-share the fingerprint's component.  Columns other than doc_id and text are ignored.
+share the fingerprint's component.  Columns other than doc_id and text are ignored by
+`near_duplicates` and kept by `one_of_each`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import stage, whole_text
+from cubeline.llm.common import discard, free_names, stage, whole_text
 
 LEFT = 31
 SEED = 42
@@ -227,13 +229,16 @@ HOT = 200_000
 
 
 def _split_hot(placed: DataFrame, hot: int) -> DataFrame:
-    """Give the members of anchors over `hot` finer anchors: one for each of three parts of the other bits.
+    """Give the members of anchors over `hot` finer anchors: one for each of three parts of the bits an anchor leaves free.
 
     Two links differ in at most 2 bits, so in one of any three parts of the bits they agree.
+    The members of a rest anchor (odd) have bits 31..63 in common, those of a left anchor bits 0..30 but for 2.
     """
     sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("anchor").alias("big"))
     cold = placed.join(sizes, placed.anchor == sizes.big, "left_anti")
-    parts = [F.col("fp").bitwiseAND((1 << 21) - 1), F.shiftrightunsigned("fp", 21).bitwiseAND((1 << 21) - 1), F.shiftrightunsigned("fp", 42)]
+    odd = F.col("anchor").bitwiseAND(1) == 1
+    cut = lambda low, n: F.shiftrightunsigned("fp", low).bitwiseAND((1 << n) - 1)
+    parts = [F.when(odd, cut(a, n)).otherwise(cut(b, 11)) for (a, n), b in zip(((0, 11), (11, 10), (21, 10)), (31, 42, 53), strict=True)]
     fine = placed.join(sizes, placed.anchor == sizes.big, "left_semi").select(
         F.explode(F.array(*[F.xxhash64("anchor", F.lit(k), p) for k, p in enumerate(parts)])).alias("anchor"), "home", "fp"
     )
@@ -248,15 +253,15 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) -> (v, root): the least vertex of each component, by alternating large and small stars.
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (v, root): the least vertex of each component, by alternating large and small stars until nothing changes.
 
     A round sends as many edges on as it got; what a vertex gathers is only its least
-    neighbour, never a list.  Each round is written to the shared folder.
+    neighbour, never a list.  Each round is written to the shared folder, and the one before it deleted.
     """
     e = stage(edges.select("a", "b").where("a <> b"), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: a neighbour above a vertex goes to the vertex's least neighbour
@@ -264,12 +269,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: from each vertex, the lower neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        e = stage(small.distinct(), "stars")
+        last, e = e, stage(small.distinct(), "stars")
         n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(last)
         if (n, total) == before or not n:
             return e.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before = (n, total)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _rooted(prints: DataFrame, hot: int) -> DataFrame:
@@ -297,9 +302,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     of_fp = prints.groupBy("fp").agg(first.alias("first"))
     rooted = _rooted(prints, hot).join(of_fp, "fp")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    keyed = docs.withColumn("_md5", F.unhex(F.md5(whole_text(text).cast("binary"))))
-    kept = keyed.join(stay.hint("shuffle_hash"), keyed[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_digest")), "left_semi").drop("_md5")
+    one, md5, mark = free_names(docs, "one_id", "text_md5", "one_md5")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(one), F.col("first.digest").alias(mark))
+    keyed = docs.withColumn(md5, F.unhex(F.md5(whole_text(text).cast("binary"))))
+    kept = keyed.join(stay.hint("shuffle_hash"), keyed[doc_id].cast("long").eqNullSafe(F.col(one)) & (F.col(md5) == F.col(mark)), "left_semi").drop(md5)
     twice = prints.groupBy("doc_id", "digest").count().where("count > 1")
     # one row repeated as a whole is rare; only then are the texts compared
     return kept if twice.isEmpty() else kept.dropDuplicates([doc_id, text])

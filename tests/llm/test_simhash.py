@@ -74,6 +74,20 @@ def test_hot_anchor(spark, monkeypatch):
     components_of(spark, fps, hot=5)
 
 
+def test_hot_anchors_are_split(spark):
+    """Members of one anchor, of either kind, end up in small groups, and no link is lost."""
+    rng = random.Random(9)
+    one_rest = [(12345 << 31) | rng.getrandbits(31) for _ in range(1500)]  # a rest anchor for all
+    one_left = [(rng.getrandbits(33) << 31) | 777 for _ in range(1500)]  # a left block for all
+    near = [x ^ (1 << rng.randrange(64)) for x in (one_rest + one_left)[::30]]
+    fps = sorted({*one_rest, *one_left, *near})
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    placed = df.mapInArrow(S._replicas, "anchor long, home boolean, fp long")
+    assert placed.groupBy("anchor").count().agg({"count": "max"}).first()[0] >= 1500
+    assert S._split_hot(placed, 200).groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 200
+    components_of(spark, fps, hot=200)
+
+
 def test_large_anchor_by_lookup(monkeypatch):
     monkeypatch.setattr(S, "PAIRWISE", 4)
     fps = np.unique(np.array(planted(30, 5), dtype=np.uint64))
@@ -95,3 +109,20 @@ def test_edge_cases(spark):
     assert by["5"][1] == "0" * 16 and by["5"][2] == "3" == by["3"][2]
     assert by["9"][2] == "7" == by["7"][2] and by["1"][2] == "1"
     assert S.near_duplicates(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "fp one_id", "'m' text_md5", "fp one_md5", "fp _one_id")
+    kept = S.one_of_each(clash)
+    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "7", "None"]
+
+
+def test_staged_rounds_are_deleted(spark):
+    import os
+
+    from cubeline.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:") + "/cubeline"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    got = S.components(edges)
+    assert {r.root for r in got.collect()} == {0} and got.count() == 40  # a path
+    kinds = [n.split("-")[0] for n in set(os.listdir(folder)) - before]
+    assert kinds == ["stars"]  # the last round alone
