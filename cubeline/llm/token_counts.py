@@ -8,9 +8,11 @@ documents are joined to the cache.  Normalising is the tokenizer's own matter: b
 BPE keeps every byte, so its content is the UTF-8 text as it stands; `normalise` takes
 another rule for tokenizers that fold texts together (it must not change a count).
 
-Texts cross the network once, dealt by document, so a digest that a third of the documents
-share costs no task more than others; the last join moves digests and numbers only and
-is one that adaptive execution splits.
+How many digests are missing decides how their texts are found.  If none is, no text is read
+again; if a few are (`FEW`), their digests go to every task of a second scan; if many are, texts
+cross the network once, dealt by document, so a digest that a third of the documents share
+costs no task more than others.  The last join moves digests and numbers only and is one that
+adaptive execution splits.
 
 The cache is a folder of Parquet files.  Appending is safe to repeat: if two writers add
 one digest, both hold the same count and one is read.
@@ -33,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import fresh_path, path_exists, stage, whole_text
+from cubeline.llm.common import discard, fresh_path, path_exists, stage, whole_text
 
 OVER = 1024
+#: Missing digests (of 40 bytes, with a doc_id) up to which they are broadcast.
+FEW = 10_000
 _LOADED: dict[str, Callable[[str], Sequence[int]]] = {}
 
 #: Texts made of these alone are cut into words alike by both libraries (tests compare them on
@@ -157,13 +161,17 @@ def token_counts(
 
     known = stored(spark, cache, version)
     missing = keys.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(known, F.col("digest") == known.content_digest, "left_anti")
-    one = missing.select(F.col("digest").alias("d"), "rep").hint("shuffle_hash")
-    texts = base.join(one, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("d"))).select("digest", normalise(F.col("text")).alias("text"))
-    (
-        texts.mapInArrow(_encoder(tokenizer), "content_digest binary, n_tokens long")
-        .dropDuplicates(["content_digest"])  # a repeated row may have been encoded twice
-        .withColumn("tokenizer_digest", F.lit(version))
-        .write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
-    )
+    missing = stage(missing.select(F.col("digest").alias("d"), "rep"), "missing")
+    n = missing.count()
+    if n:
+        one = F.broadcast(missing) if n <= FEW else missing.hint("shuffle_hash")
+        texts = base.join(one, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("d"))).select("digest", normalise(F.col("text")).alias("text"))
+        (
+            texts.mapInArrow(_encoder(tokenizer), "content_digest binary, n_tokens long")
+            .dropDuplicates(["content_digest"])  # a repeated row may have been encoded twice
+            .withColumn("tokenizer_digest", F.lit(version))
+            .write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+        )
+    discard(missing)
     now = stored(spark, cache, version)
     return keys.join(now, keys.digest == now.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))

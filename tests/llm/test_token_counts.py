@@ -43,6 +43,16 @@ def test_cache(spark, tmp_path, library, monkeypatch):
     T.token_counts(more, PATH, cache).collect()
     assert spark.read.parquet(cache).count() == 5
     assert T.token_counts(df.limit(0), PATH, cache).count() == 0
+    # warm: nothing is encoded, and no text is shuffled, whatever the size
+    with monkeypatch.context() as m:
+        m.setattr(T, "_encoder", lambda p: (_ for _ in ()).throw(AssertionError("encoded")))
+        warm = T.token_counts(more, PATH, cache)
+        assert warm.count() == 9 and "text" not in warm._jdf.queryExecution().executedPlan().toString()
+    # many missing digests are joined by a shuffle
+    with monkeypatch.context() as m:
+        m.setattr(T, "FEW", 0)
+        again = T.token_counts(df, PATH, f"file://{tmp_path}/second")
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in again.collect()) == want
     # another version has its own entries
     monkeypatch.setattr(T, "tokenizer_digest", lambda p: "other")
     assert T.token_counts(df, PATH, cache, over=0).where("over_limit").count() == 6
