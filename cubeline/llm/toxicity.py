@@ -16,7 +16,7 @@ Null text is empty; an empty text scores what the intercept gives.  A doc_id lab
 is toxic if any of its labels says so; null labels or doc_ids are left out.  Without any
 training row, or with one class only, the score is the smoothed share of toxic rows.
 Repeated rows score alike.  Only doc_id and text are read of the documents; the score
-depends on the text alone.
+depends on the text alone.  Columns kept beside the scores that are named as they are give way.
 """
 
 from __future__ import annotations
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[fl
 
 def scores(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of `keep`, with score and predicted."""
+    keep = tuple(k for k in keep if k.lower() not in ("score", "predicted", "_text"))
     base = docs.select(*[F.col(k) for k in keep], whole_text(text).alias("_text"))
 
     def run(batches):

@@ -73,3 +73,52 @@ def test_fit_ends_at_the_optimum():
 
     w = np.divide(weights, r, out=np.zeros(len(r)), where=r != 0)
     assert gradient(b, w) <= 2e-4 * gradient(np.log(y.sum() / (1 - y).sum()), np.zeros(len(r)))
+
+
+def grams(text):
+    """The 4- and 5-grams by plain strings."""
+    s = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return {s[i : i + n] for n in (4, 5) for i in range(len(s) - n + 1)}
+
+
+def test_scores_against_brute_force():
+    """Counts, ratios and the fit by plain strings and Newton's method, for texts whose grams all count."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(40)]
+    texts = [" ".join(rng.choice(vocabulary, 6)) for _ in range(120)]
+    y = np.array([int((vocabulary[0] in t or vocabulary[1] in t) ^ (rng.random() < 0.1)) for t in texts])
+    rows = [grams(t) for t in texts]
+    names = sorted(set().union(*rows))
+    x = np.array([[g in r for g in names] for r in rows], float)
+    r = np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2))
+    z = np.column_stack([x * r, np.ones(len(texts))])
+    w = np.zeros(z.shape[1])
+    penalty = np.append(np.full(len(names), T.PENALTY), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+    model = T.fit(texts, y)
+    assert len(model[1]) == len(names)  # no two grams share a cell here
+    score = T.scorer(model)
+    for t in [*texts, "", "none of these", " ".join(vocabulary)]:
+        have = grams(t)
+        want = 1 / (1 + np.exp(-(np.append([g in have for g in names] * r, 1) @ w)))
+        assert abs(score(t) - want) < 5e-3, t
+
+
+def test_query_on_the_table(spark):
+    """Held-out accuracy on the labelled documents of the table."""
+    from cubeline.llm.queries import op7_toxicity
+
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in op7_toxicity(spark, d).collect()}
+    held = [i for i, r in got.items() if r.held_out and i in labels]
+    assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count() and len(held) > 10
+    assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.85
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8)], "doc_id long, text string, score int, predicted int")
+    assert T.scores(docs, (0.0, np.zeros(0, np.int64), np.zeros(0)), keep=("doc_id", "score", "predicted")).columns == ["doc_id", "score", "predicted"]
+    assert T.accepted(docs, (-1.0, np.zeros(0, np.int64), np.zeros(0))).collect() == docs.collect()
