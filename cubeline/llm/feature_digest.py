@@ -1,9 +1,10 @@
 """Fingerprints of statistically improbable features.
 
-Every 64-byte window of a text (UTF-8) gets a rank from its byte entropy: the further the
-entropy lies from that of ordinary windows, the rarer the window and the lower its rank;
-windows of almost no entropy (runs of one byte) carry nothing and are never chosen unless
-there is no other.  In each run of 64 neighbouring windows the lowest rank, leftmost first,
+Every 64-byte window of a text (UTF-8) has a byte entropy, in steps of a hundredth of a bit.  A
+pass over the whole corpus counts the windows of each step (`rarity`); the rarer a window's
+entropy there, the lower its rank.  Windows of almost no entropy (runs of one byte) carry
+nothing and are never chosen unless there is no other.  In each run of 64 neighbouring windows
+the lowest rank, leftmost first,
 scores a point; windows with 16 points or more are the features.  A feature's 64-bit hash
 sets 5 bits of a 2,048-bit Bloom filter; after 160 features a new filter is chained.  A
 feature that occurs again in the same text is not inserted again.
@@ -22,7 +23,9 @@ windows score, or none, and an edit may touch them all; such a text has its 8-by
 features too, after those selected, so that the selected ones still meet those of a longer
 text.  Its features are dealt evenly over the filters they need: one with few bits would be
 like many by chance.  Texts are processed whole; a text's fingerprint depends on that text
-alone.
+and on the table of ranks, which may be kept and given to other corpora so that fingerprints
+stay comparable.  The table has 601 numbers, whatever the corpus.  An empty table of documents
+gives no rows, and ranks that are all alike.
 
 Entropies are whole numbers (sums of c * log2 c in thousandths), so that results are the
 same on every machine.  They are updated along many stretches at once, a byte in and a byte
@@ -49,12 +52,16 @@ SHORT = WINDOW + RUN - 2 + 4 * RUN
 PER_FILTER = 160
 BITS = 2048
 HASHES = 5
-#: Entropy (bits) of ordinary windows, and that below which a window carries nothing.
-USUAL, LEAST = 4.0, 1.0
+#: Entropy (bits) below which a window carries nothing.
+LEAST = 1.0
+#: Steps of entropy to a bit, and how many there are.
+STEPS = 100
+KINDS = STEPS * 6 + 1
 #: Bytes of texts that are worked on together.
 TOGETHER = 4 << 20
 _STRETCH = 2048
 _NONE = np.int64(1) << 62
+_EMPTY = 9000  # the rank of windows that carry nothing
 
 _C = np.arange(WINDOW + 1)
 _SUM = np.rint(1000 * _C * np.log2(np.maximum(_C, 1))).astype(np.int32)
@@ -94,11 +101,67 @@ def window_sums(data: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def ranks(sums: np.ndarray) -> np.ndarray:
-    """Lower is rarer: thousandths of a bit from the usual entropy, subtracted from a whole."""
-    bits = (_TOP - sums) // WINDOW
-    rank = 8000 - np.abs(bits - int(USUAL * 1000))
-    return np.where(bits < int(LEAST * 1000), 9000, rank).astype(np.int64)
+def steps(sums: np.ndarray) -> np.ndarray:
+    """The entropy of windows in hundredths of a bit."""
+    return np.clip((_TOP - sums) // WINDOW * STEPS // 1000, 0, KINDS - 1)
+
+
+def counts(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each entropy."""
+    out = np.zeros(KINDS, np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) >= WINDOW:
+        own = _own(size, len(data) - WINDOW + 1)
+        out += np.bincount(steps(window_sums(data))[own], minlength=KINDS)
+    return out
+
+
+def _own(size: np.ndarray, n: int) -> np.ndarray:
+    """Which windows of texts that follow one another lie in one text."""
+    edge = np.zeros(n + 1, np.int64)
+    big = size >= WINDOW
+    start = (np.cumsum(size) - size)[big]
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size[big] - WINDOW + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def table(seen: np.ndarray) -> np.ndarray:
+    """Rank of each entropy by how often it was seen: lower is rarer; the lower entropy first on ties."""
+    rank = np.empty(KINDS, np.int64)
+    rank[np.lexsort((np.arange(KINDS), seen))] = np.arange(KINDS)
+    rank[: int(LEAST * STEPS)] = _EMPTY
+    return rank
+
+
+def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The table of ranks from all windows of all texts; each task sends one count for each entropy it met."""
+
+    def run(batches):
+        seen = np.zeros(KINDS, np.int64)
+        for b in batches:
+            held, n = [], 0
+            for t in b.column("text").to_pylist():
+                held.append(_raw(t))
+                n += len(held[-1])
+                if n > TOGETHER:
+                    seen += counts(held)
+                    held, n = [], 0
+            seen += counts(held)
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(seen[met], pa.int64())], ["step", "n"])
+
+    rows = docs.select(whole_text(text).alias("text")).mapInArrow(run, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(KINDS, np.int64)
+    for r in rows:
+        seen[r.step] = r.n
+    return table(seen)
+
+
+def ranks(sums: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Lower is rarer."""
+    return rank[steps(sums)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -121,7 +184,7 @@ def _small(b: bytes) -> list[int]:
     return [int.from_bytes(hashlib.sha256(w).digest()[:8], "little") for w in dict.fromkeys(b[i : i + 8] for i in range(max(1, len(b) - 7)))]
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the selected features of each text, in order of place, without repeats within a text."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -132,12 +195,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = [start[doc[0]] + np.concatenate([np.arange(len(m)) for m in made] or [np.zeros(0, np.int64)])]
     if len(data) >= WINDOW:
         n = len(data) - WINDOW + 1
-        key = (ranks(window_sums(data)) << 40) | np.arange(n)
-        own = np.zeros(n, bool)
+        key = (ranks(window_sums(data), rank) << 40) | np.arange(n)
+        own = _own(size, n)
         run = np.zeros(max(0, n - RUN + 1), bool)
         for s, z in zip(start.tolist(), size.tolist(), strict=True):
             if z >= WINDOW:
-                own[s : s + z - WINDOW + 1] = True
                 run[s : max(s, s + z - WINDOW + 1 - RUN + 1)] = True
         key[~own] = _NONE
         low, width = key, 1
@@ -147,7 +209,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         mask = (np.int64(1) << 40) - 1
         points = np.bincount(low[run[: len(low)]] & mask, minlength=n) if width == RUN else np.zeros(n, np.int64)
         chosen = points >= POINTS
-        chosen &= key >> 40 < 9000
+        chosen &= key >> 40 < _EMPTY
         big = np.flatnonzero(size >= WINDOW)
         if len(big):
             has = np.add.reduceat(chosen, start[big], dtype=np.int64)
@@ -168,9 +230,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], value[order]
 
 
-def inserted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def inserted(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As features(), with the small windows after them in short texts."""
-    doc, value = features(texts)
+    doc, value = features(texts, rank)
     short = [k for k, t in enumerate(texts) if WINDOW <= len(t) < SHORT]
     made = [_small(texts[k]) for k in short]
     doc = np.concatenate([doc, np.repeat(np.array(short, np.int64), [len(m) for m in made])])
@@ -179,9 +241,9 @@ def inserted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], value[order]
 
 
-def filters(texts: list[bytes]) -> list[np.ndarray]:
+def filters(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """The chained filters of each text: an array of (filters, 256) bytes."""
-    doc, value = inserted(texts)
+    doc, value = inserted(texts, rank)
     n = np.bincount(doc, minlength=len(texts))
     chain = -(-n // PER_FILTER)
     first = np.cumsum(chain) - chain
@@ -235,7 +297,7 @@ def _raw(t: str) -> bytes:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _run(batches):
+def _run(batches, rank: np.ndarray):
     held: list[tuple[int | None, str]] = []
     held_bucket, held_bytes = None, 0
 
@@ -247,7 +309,7 @@ def _run(batches):
         after = [*own[1:], following]
         made = [edited(t, f) for t, f in zip(own, after, strict=True)]
         raw = [_raw(t) for t in made]
-        chains = filters([_raw(t) for t in [*own, following]] + raw)
+        chains = filters([_raw(t) for t in [*own, following]] + raw, rank)
         mine, edit = chains[: len(own) + 1], chains[len(own) + 1 :]
         cols = [
             [i for i, _ in rows], [len(t) for t in own], [hashlib.sha256(r).hexdigest() for r in raw], [to_string(c) for c in mine[:-1]], [to_string(c) for c in edit],
@@ -277,13 +339,16 @@ def _run(batches):
         yield from solve(held, held[0][1])
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank: np.ndarray | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are to each other and to the next document.
 
     The next document is the one of the next doc_id (null first, rows of one doc_id by their
     texts' digest); the first follows the last.  Texts are shuffled once, into ranges of doc_id.
+    Without `rank`, the ranks are those of the documents themselves.
     """
+    rank = rarity(docs, text) if rank is None else rank
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     key = F.concat(long_key(F.col("doc_id")), F.md5(F.col("text").cast("binary")))
     n = partitions_for(docs.sparkSession, docs)
-    return ordered_buckets(base, key, n, before=False, after=True, wrap=True).select("_bucket", "_side", "doc_id", "text").mapInArrow(_run, _OUT)
+    dealt = ordered_buckets(base, key, n, before=False, after=True, wrap=True).select("_bucket", "_side", "doc_id", "text")
+    return dealt.mapInArrow(lambda batches: _run(batches, rank), _OUT)

@@ -20,8 +20,27 @@ def test_window_sums(n):
     assert D.window_sums(np.frombuffer(data, np.uint8)).tolist() == sums_by_hand(data)
 
 
-def chosen_by_hand(data: bytes):
-    rank = D.ranks(np.array(sums_by_hand(data))).tolist()
+def entropy_by_hand(data: bytes):
+    """Hundredths of a bit, from the whole numbers that the sums are."""
+    whole = int(math.log2(64) * 1000) * 64
+    return [max(0, min(600, (whole - x) // 64 * 100 // 1000)) for x in sums_by_hand(data)]
+
+
+def table_by_hand(texts):
+    seen = Counter(e for t in texts for e in entropy_by_hand(t))
+    order = sorted(range(601), key=lambda e: (seen[e], e))
+    return [9000 if e < 100 else order.index(e) for e in range(601)]
+
+
+def ranks_of(texts):
+    return D.table(D.counts(texts))
+
+
+ENGLISH = ranks_of([b"the quick brown fox jumps over the lazy dog and runs away from it in the early morning, " * 3, bytes(range(32, 127)) * 4, b"aaaa bbbb cccc " * 40])
+
+
+def chosen_by_hand(data: bytes, table):
+    rank = [table[e] for e in entropy_by_hand(data)]
     points = Counter()
     for i in range(len(rank) - 63):
         points[min(range(i, i + 64), key=lambda p: (rank[p], p))] += 1
@@ -37,19 +56,22 @@ def test_features_by_hand_and_alone():
     rng = random.Random(4)
     texts = [words(rng, 200), "", words(rng, 12), "short", "a" * 500, words(rng, 900)]
     raw = [t.encode() for t in texts]
-    doc, value = D.features(raw)
+    table = table_by_hand(raw)
+    rank = ranks_of(raw)
+    assert rank.tolist() == table
+    doc, value = D.features(raw, rank)
     for k, t in enumerate(raw):
-        alone = D.features([t])[1].tolist()
+        alone = D.features([t], rank)[1].tolist()
         assert value[doc == k].tolist() == alone  # neighbours in the batch don't matter
         if len(t) >= 64:
-            h = D._hashes(np.frombuffer(t, np.uint8), np.array(chosen_by_hand(t))).tolist()
+            h = D._hashes(np.frombuffer(t, np.uint8), np.array(chosen_by_hand(t, table))).tolist()
             assert alone == list(dict.fromkeys(h))
 
 
 def test_likeness():
     rng = random.Random(6)
     a, b = words(rng, 4000), words(rng, 4000)
-    fa, fb, fe, empty, fc = D.filters([a.encode(), b.encode(), D.edited(a, b).encode(), b"", a.encode()])
+    fa, fb, fe, empty, fc = D.filters([a.encode(), b.encode(), D.edited(a, b).encode(), b"", a.encode()], ranks_of([a.encode(), b.encode()]))
     assert len(fa) > 1 and D.likeness(fa, fc) == 1.0 and (fa == fc).all()
     assert D.likeness(fa, fe) > 0.6 > 0.1 > D.likeness(fa, fb)
     assert D.likeness(empty, empty) == 1.0 and D.likeness(fa, empty) == 0.0
@@ -62,7 +84,8 @@ def test_short_texts_are_like_their_edits(size):
     rng = random.Random(size)
     texts = [words(rng, 80)[:size] for _ in range(40)]
     made = [D.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
-    own, edit = D.filters([t.encode() for t in texts]), D.filters([t.encode() for t in made])
+    rank = ranks_of([t.encode() for t in texts])
+    own, edit = D.filters([t.encode() for t in texts], rank), D.filters([t.encode() for t in made], rank)
     near = [D.likeness(a, b) for a, b in zip(own, edit, strict=True)]
     assert min(near) > 0.4  # three quarters of each text are unchanged
     assert max(D.likeness(a, b) for a, b in zip(own, own[1:], strict=False)) < 0.3
@@ -74,7 +97,7 @@ def test_short_and_long_texts_meet():
     near = []
     for _ in range(40):
         text = words(rng, 120)
-        a, b = D.filters([text[: D.SHORT - 1].encode(), text[: D.SHORT].encode()])
+        a, b = D.filters([text[: D.SHORT - 1].encode(), text[: D.SHORT].encode()], ENGLISH)
         near.append(D.likeness(a, b))
     assert min(near) > 0.4
 
@@ -86,10 +109,12 @@ def test_against_plain_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
     key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
     order = [(i, t or "") for i, t, _ in sorted(rows, key=key)]
+    rank = D.rarity(df)
+    assert rank.tolist() == ranks_of([t.encode() for _, t in order]).tolist()
     want = []
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
         e = D.edited(t, nxt)
-        f, g, h = D.filters([t.encode(), e.encode(), nxt.encode()])
+        f, g, h = D.filters([t.encode(), e.encode(), nxt.encode()], rank)
         want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), D.to_string(f), D.to_string(g), D.likeness(f, g), D.likeness(f, h)))
     got = [(str(r[0]), *r[1:]) for r in D.digests(df).collect()]
     assert sorted(got) == sorted(want)
@@ -100,3 +125,6 @@ def test_one_and_none(spark):
     (r,) = D.digests(df).collect()
     assert r.near_next == 1.0
     assert D.digests(df.limit(0)).count() == 0
+    other = spark.createDataFrame([(5, words(random.Random(1), 400))], "doc_id long, text string")
+    kept = D.digests(df, rank=D.rarity(other)).first()  # ranks of another corpus
+    assert kept.near_next == 1.0 and D.rarity(df.limit(0)).tolist() == D.table(np.zeros(601, np.int64)).tolist()
