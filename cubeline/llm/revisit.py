@@ -25,13 +25,20 @@ spans before it from a table with one row for each (URL, span).  A URL with a th
 records is thus as many groups as it has spans, and no task holds it whole.  Bodies don't
 move; the result names the response's record id.
 
+`read_warc` makes such records of WARC files, plain or compressed member by member; records of
+other types and those that are broken off are passed over.  A file is one task's work.
+
 Records with a null URL, time or type resolve as `orphan` if they are revisits and serve no
 one if responses.  Repeated rows come out as often as they went in.  Extra columns stay out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Seconds of a span.
@@ -111,3 +118,84 @@ def merged(stored: Column, fresh: Column) -> Column:
     pick = lambda es, n: F.array_max(F.transform(F.filter(es, lambda e: e["key"] == n), lambda e: e["value"]))
     has = lambda es, n: F.exists(es, lambda e: e["key"] == n)
     return F.map_from_arrays(names, F.transform(names, lambda n: F.when(has(new, n), pick(new, n)).otherwise(pick(low(stored), n))))
+
+
+# --- WARC files -------------------------------------------------------------------------------
+
+
+def _members(raw: bytes) -> Iterator[bytes]:
+    """The plain text of a file, gzip member by member; what is broken off ends it."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while raw[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out = d.decompress(raw) + d.flush()
+        except zlib.error:
+            return
+        if not d.eof:
+            return
+        yield out
+        raw = d.unused_data
+
+
+def _fields(block: bytes) -> tuple[str, dict[str, str], int]:
+    """(first line, headers by their own spelling, where the body begins); folded lines belong to the one before."""
+    end = block.find(b"\r\n\r\n")
+    head = (block if end < 0 else block[:end]).decode("utf-8", "replace").split("\r\n")
+    out: dict[str, str] = {}
+    last = None
+    for line in head[1:]:
+        if line[:1] in (" ", "\t") and last is not None:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip()
+            out[last] = value.strip()
+    return head[0], out, len(block) if end < 0 else end + 4
+
+
+def warc_records(raw: bytes) -> Iterator[tuple]:
+    """record_id, url, ts (text), type, etag, last_modified, digest, headers of the responses and revisits in a file."""
+    kinds = {"response", "revisit"}
+    for part in _members(raw):
+        at = 0
+        while (at := part.find(b"WARC/", at)) >= 0:
+            version, own, body = _fields(part[at : at + (1 << 16)])
+            named = {k.lower(): v for k, v in own.items()}
+            size = named.get("content-length", "")
+            if not size.isdigit() or at + body + int(size) > len(part):
+                at += 5
+                continue
+            block = part[at + body : at + body + int(size)]
+            at += body + int(size)
+            kind = named.get("warc-type", "").lower()
+            if kind not in kinds:
+                continue
+            line, headers, _ = _fields(block)
+            if kind == "response" and line.startswith("HTTP/") and line.split(" ")[1:2] != ["200"]:
+                continue  # no full response
+            http = {k.lower(): v for k, v in headers.items()}
+            yield (
+                named.get("warc-record-id"), named.get("warc-target-uri", "").strip("<>") or None, named.get("warc-date"), kind,
+                http.get("etag"), http.get("last-modified"), named.get("warc-payload-digest"), headers,
+            )
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files as `resolve` takes them."""
+    kinds = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string())]
+    names = ["record_id", "url", "ts", "type", "etag", "last_modified", "digest", "headers"]
+
+    def run(batches):
+        for b in batches:
+            for raw in b.column("content"):
+                rows = list(warc_records(raw.as_py()))
+                cols = list(zip(*rows, strict=True)) or [()] * len(names)
+                made = [list(c) if k != kinds[-1] else [list(m.items()) for m in c] for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names)
+
+    schema = "record_id string, url string, ts string, type string, etag string, last_modified string, digest string, headers map<string,string>"
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, schema).withColumn("ts", F.try_to_timestamp("ts"))

@@ -65,3 +65,50 @@ def test_headers_merge(spark):
     assert got[0].headers == {"etag": '"1"', "content-type": "text/html", "cache-control": "max-age=9", "content-length": "10", "date": "today"}
     assert got[2].status == "mismatch" and got[2].headers == new
     assert R.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def warc(kind, url, when, http, body=b"", more=()):
+    block = http + b"\r\n\r\n" + body
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Target-URI: " + url, b"WARC-Date: " + when, b"WARC-Record-ID: <urn:" + url + when + b">", b"Content-Length: " + str(len(block)).encode(), *more]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    records = [
+        warc(b"warcinfo", b"x", b"2024-01-01T00:00:00Z", b"software: y"),
+        warc(b"response", b"http://a.org/p", b"2024-01-01T00:00:00Z", b'HTTP/1.1 200 OK\r\nETag: "1"\r\nX-Long: a\r\n b\r\nContent-Type: text/html', b"<p>WARC/1.1 in a body</p>", (b"WARC-Payload-Digest: sha1:AA",)),
+        warc(b"response", b"http://a.org/p", b"2024-01-02T00:00:00Z", b"HTTP/1.1 404 Not Found", b"gone"),
+        warc(b"revisit", b"http://www.a.org/p/", b"2024-01-03T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\netag: W/"1"\r\nDate: now'),
+        warc(b"revisit", b"http://a.org/p", b"2024-01-04T00:00:00Z", b"HTTP/1.1 304 Not Modified", b"", (b"WARC-Payload-Digest: sha1:BB",)),
+        warc(b"revisit", b"http://b.org/", b"2024-01-04T00:00:00Z", b"HTTP/1.1 304 Not Modified"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:3]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[3:])) + gzip.compress(records[1])[:-9])  # the last is broken off
+    (tmp_path / "c.warc").write_bytes(b"no records")
+    r = R.read_warc(spark, str(tmp_path))
+    assert r.count() == 4 and r.where("etag = '\"1\"'").first().headers["X-Long"] == "a b"
+    got = {(x.url_key, x.ts.day): x for x in R.resolve(r).collect()}
+    assert got["a.org/p", 3].status == "resolved" and got["a.org/p", 3].headers == {"etag": 'W/"1"', "x-long": "a b", "content-type": "text/html", "date": "now"}
+    assert got["a.org/p", 4].status == "mismatch" and got["b.org", 4].status == "orphan"
+
+
+def test_query_against_its_sql(spark):
+    import duckdb
+
+    from cubeline.llm.queries import OP4_SQL, op4_not_modified_revisits
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet'")
+    rel = con.sql(OP4_SQL)
+    got = op4_not_modified_revisits(spark, d)
+    names = sorted(got.columns)
+    want = sorted(tuple(map(str, r)) for r in rel.select(*names).fetchall())
+    mine = sorted(tuple(map(str, r)) for r in got.select(*names).collect())
+    assert mine == want
+    status = {r.status: r["count"] for r in got.groupBy("status").count().collect()}
+    assert set(status) == {"resolved", "mismatch", "unverified", "orphan"}
+    later = {r.response_id[-1] for r in got.where("status = 'resolved'").collect()}
+    assert later == {"a", "b"}  # the latest earlier of several responses
