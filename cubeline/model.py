@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from cubeline.functions.granularity import to_ms
@@ -28,6 +29,7 @@ class EventSource:
     id: str = ""
     owners: tuple[str, ...] = ()
     retention: Retention | None = None
+    dedupe_days: int | None = None  # how far back known uuids are looked for; None: all that is stored
 
     def __post_init__(self):
         if not self.name:
@@ -62,6 +64,15 @@ class CubeDef:
             raise ValueError("partition_length must be positive")
 
 
+#: Fields that plugins add to queries: name -> what checks a value (it raises ValueError).
+EXTENSIONS: dict[str, Callable[[object], None]] = {}
+
+
+def extend_queries(name: str, check: Callable[[object], None] = lambda v: None) -> None:
+    """Let queries carry an optional field of a plugin, in `extensions`."""
+    EXTENSIONS[name] = check
+
+
 @dataclass(frozen=True)
 class Scope:
     """What all query shapes have in common."""
@@ -77,10 +88,15 @@ class Scope:
     limit: int | None = None
     cache: bool | None = None
     rebuild_cache: bool = False
+    extensions: dict[str, object] | None = None
 
     def __post_init__(self):
         _range(self.time_range)
         to_ms(self.granularity)
+        for name, value in (self.extensions or {}).items():
+            if name not in EXTENSIONS:
+                raise ValueError(f"no plugin has added a query field {name!r}")
+            EXTENSIONS[name](value)
 
 
 @dataclass(frozen=True)

@@ -106,8 +106,10 @@ def _variant_rows(kinds: set[str]) -> list[Column]:
     return parts
 
 
-def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[str] = METRIC_TYPES, attributions: bool = True, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The metric rows of events: DIMENSIONS and value.  `more` may add rows of the same columns for the events.
+def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[str] = METRIC_TYPES, attributions: bool = True, more: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The metric rows of events: DIMENSIONS and value, and the columns of events in `carry`.
+
+    `more` may add rows of the same columns for the events.
 
     A declared payload needs no lambdas but for leaf keys: its rows are one array of structs
     that compiled code builds and unpacks.
@@ -121,16 +123,16 @@ def metric_rows(events: DataFrame, granularity: str = "minute", kinds: Iterable[
     kind = events.schema["ts"].dataType
     total = F.array(F.struct(F.lit(TOTAL).alias("type"), F.lit(TOTAL).alias("value")))
     who = F.concat(total, F.coalesce("attributions", F.array().cast("array<struct<type:string,value:string>>"))) if attributions else total
-    e = events.select("source_id", "event_type", "ts", who.alias("_a"), *held)
+    e = events.select("source_id", "event_type", "ts", *carry, who.alias("_a"), *held)
     e = e.withColumn("_a", F.explode("_a")) if attributions else e.withColumn("_a", F.col("_a")[0])
     out = (
-        e.select("source_id", "event_type", "ts", "_a", F.inline(parts)).where("value is not null")
+        e.select("source_id", "event_type", "ts", *carry, "_a", F.inline(parts)).where("value is not null")
         .select(
             "source_id", "event_type", F.when(F.col("aggregation_type") == "BOOLEAN", F.col("ts")).otherwise(bucket(F.col("ts"), granularity, kind)).alias("ts"), F.lit(granularity).alias("granularity"),
-            F.col("_a.type").alias("attribution_type"), F.col("_a.value").alias("attribution_value"), "aggregation_type", "payload_field", "payload_category", "compound_category_key", "leaf_key", "value",
+            F.col("_a.type").alias("attribution_type"), F.col("_a.value").alias("attribution_value"), "aggregation_type", "payload_field", "payload_category", "compound_category_key", "leaf_key", "value", *carry,
         )
     )
-    return out if more is None else out.unionByName(more(events).select(*DIMENSIONS, "value"))
+    return out if more is None else out.unionByName(more(events).select(*DIMENSIONS, "value", *carry))
 
 
 def accepts(cube: CubeDef) -> Column:

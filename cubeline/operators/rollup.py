@@ -1,10 +1,11 @@
 """Rollup tables: cells of all dimensions with their sums.
 
-A cube is a folder of Parquet, partitioned by `partition_idx` (a number of buckets, counted
-from the epoch) so that a time range prunes files, and by `batch`.  A batch's cells are
-written under its own number, replacing what that number held: repeating a batch changes
+A cube is a folder of Parquet, partitioned by `batch` and by `partition_idx` (a number of
+buckets, counted from the epoch) so that a time range prunes files.  A batch's cells are
+written under its own name, replacing what that name held: repeating a batch changes
 nothing, and late events add cells to old buckets in a new batch.  Reading sums the cells of
-equal dimensions; compacting writes those sums back as one batch.
+equal dimensions; compacting writes those sums as one batch, and which folders are read is
+then a fact of the cube (see Engine.compact).
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ def merge(rows: DataFrame, scale: int | None = None) -> DataFrame:
     return sums.unionByName(facts)
 
 
-def build(events: DataFrame, cube: CubeDef, scale: int | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The cells of a cube, with the number of their partition."""
+def build(events: DataFrame, cube: CubeDef, scale: int | None = None, more: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The cells of a cube, with the number of their partition; apart for each value of the columns in `carry`."""
     e = events.where(accepts(cube))
-    facts = metric_rows(e, cube.granularity, kinds=("BOOLEAN",)).select(*DIMENSIONS, "value")
-    rows = metric_rows(e, cube.granularity, kinds=[k for k in METRIC_TYPES if k != "BOOLEAN"], more=more)
-    added = facts if more is None else facts.unionByName(rows.where("aggregation_type = 'BOOLEAN'").select(*DIMENSIONS, "value"))
-    sums = (rows if more is None else rows.where("aggregation_type <> 'BOOLEAN'")).groupBy(*DIMENSIONS).agg(exact_sum(F.col("value"), scale).alias("value"))
+    keys = [*DIMENSIONS, *carry]
+    facts = metric_rows(e, cube.granularity, kinds=("BOOLEAN",), carry=carry).select(*keys, "value")
+    rows = metric_rows(e, cube.granularity, kinds=[k for k in METRIC_TYPES if k != "BOOLEAN"], more=more, carry=carry)
+    added = facts if more is None else facts.unionByName(rows.where("aggregation_type = 'BOOLEAN'").select(*keys, "value"))
+    sums = (rows if more is None else rows.where("aggregation_type <> 'BOOLEAN'")).groupBy(*keys).agg(exact_sum(F.col("value"), scale).alias("value"))
     return sums.unionByName(added).withColumn("partition_idx", partition_of(cube))
 
 
@@ -46,7 +48,10 @@ def partition_of(cube: CubeDef) -> Column:
     return ordinal(F.col("ts"), cube.granularity, cube.partition_length) if cube.partitioned else F.lit(0).cast("long")
 
 
-def write_batch(cells: DataFrame, path: str, batch: int) -> None:
+_BY = ("partition_idx", "attribution_type", "aggregation_type", "payload_field", "ts")
+
+
+def write_batch(cells: DataFrame, path: str, batch: int | str) -> None:
     """Write or replace one batch of a cube.
 
     A partition's cells are brought together first (rebalanced: large ones are split, small ones
@@ -54,12 +59,31 @@ def write_batch(cells: DataFrame, path: str, batch: int) -> None:
     a query of the totals, or of one metric, skips row groups by their statistics.
     """
     # batch comes first, so one folder holds it whole; overwriting that folder also clears partitions it no longer has
-    by = ("partition_idx", "attribution_type", "aggregation_type", "payload_field", "ts")
-    cells.hint("rebalance", "partition_idx").sortWithinPartitions(*by).write.mode("overwrite").partitionBy("partition_idx").parquet(f"{path}/batch={batch}")
+    cells.hint("rebalance", "partition_idx").sortWithinPartitions(*_BY).write.mode("overwrite").partitionBy("partition_idx").parquet(f"{path}/batch={batch}")
+
+
+def replace_partitions(cells: DataFrame, path: str) -> None:
+    """Write cells with a column batch, in place of what their batches held in the partitions they are of; all else stays."""
+    by = ["batch", "partition_idx"]
+    dealt = cells.hint("rebalance", *by).sortWithinPartitions("batch", *_BY)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
 
+SCHEMA = (
+    "source_id string, event_type string, ts {ts}, granularity string, attribution_type string, attribution_value string, aggregation_type string, payload_field string, "
+    "payload_category string, compound_category_key string, leaf_key array<struct<k:string,v:string>>, value double, partition_idx long, batch string"
+)
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+def read(spark: SparkSession, path: str, batches: list[str] | None = None, ts: str | None = None) -> DataFrame:
+    """The cells of a cube, of all batches or of those named; `ts` is the type of its times where it may hold none."""
+    paths = [f"{path}/batch=*"] if batches is None else [f"{path}/batch={b}" for b in batches]
+    reader = spark.read.option("basePath", path)
+    if ts is not None:
+        if not paths:
+            return spark.createDataFrame([], SCHEMA.format(ts=ts))
+        reader = reader.schema(SCHEMA.format(ts=ts))
+    return reader.parquet(*paths)
 
 
 def cells(spark: SparkSession, path: str, scale: int | None = None) -> DataFrame:
@@ -75,11 +99,11 @@ def pruned(rows: DataFrame, cube: CubeDef, start: dt.datetime, end: dt.datetime)
     return rows.where(F.col("partition_idx").between(r.start, r.stop - 1))
 
 
-def compact(spark: SparkSession, path: str, to: str, scale: int | None = None) -> None:
-    """All batches of a cube as batch 0 of another folder."""
-    facts = read(spark, path).where("aggregation_type = 'BOOLEAN'").select(*DIMENSIONS, "value", "partition_idx")
-    sums = read(spark, path).where("aggregation_type <> 'BOOLEAN'").groupBy(*DIMENSIONS, "partition_idx").agg(exact_sum(F.col("value"), scale).alias("value"))
-    write_batch(sums.unionByName(facts), to, 0)
+def compacted(rows: DataFrame, scale: int | None = None) -> DataFrame:
+    """The cells of several batches as one batch."""
+    facts = rows.where("aggregation_type = 'BOOLEAN'").select(*DIMENSIONS, "value", "partition_idx")
+    sums = rows.where("aggregation_type <> 'BOOLEAN'").groupBy(*DIMENSIONS, "partition_idx").agg(exact_sum(F.col("value"), scale).alias("value"))
+    return sums.unionByName(facts)
 
 
 def answers(cube: CubeDef, granularity: str) -> bool:
@@ -105,18 +129,20 @@ def kept_partitions(rows: DataFrame, cube: CubeDef, now: dt.datetime, hot_days:
     return rows.where(partition_of(cube) >= first_kept_partition(cube, now, hot_days))
 
 
-def expire(spark: SparkSession, path: str, cube: CubeDef, now: dt.datetime, offload: Callable[[DataFrame], None] | None = None) -> list[int]:
-    """Drop the partitions that retention no longer keeps, offloading them first; their numbers."""
+def expire(cells: DataFrame, path: str, cube: CubeDef, now: dt.datetime, store, offload: Callable[[DataFrame], None] | None = None) -> list[int]:
+    """Drop the partitions that retention no longer keeps, offloading them first; their numbers.
+
+    cells: all of the cube that counts; store: of the cube's root.
+    """
     if cube.retention is None or not cube.partitioned:
         return []
     edge = first_kept_partition(cube, now, cube.retention.hot_days)
-    old = read(spark, path).where(F.col("partition_idx") < edge)
+    old = cells.where(F.col("partition_idx") < edge)
     gone = sorted(r[0] for r in old.select("partition_idx").distinct().collect())  # partitions, not rows
     if gone and offload is not None:
         offload(old.drop("batch"))
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for idx in gone:
-        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/partition_idx={idx}")) or []:
-            fs.delete(status.getPath(), True)
+    for b in store.names(path):
+        for p in store.names(f"{path}/{b}") if b.startswith("batch=") else []:
+            if p.startswith("partition_idx=") and int(p.partition("=")[2]) < edge:
+                store.delete(f"{path}/{b}/{p}")
     return gone

@@ -2,7 +2,7 @@
 
 A plugin is any object with methods of these names.  Waterfalls pass a value along, each
 plugin getting what the one before it returned (None: unchanged); collectors add metric rows;
-actions are told.
+actions are told.  `before_metrics_written` may return (cells, cube) to send cells to another cube.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-WATERFALLS = ("before_event_record", "before_metrics_written", "before_aggregate_generated", "after_aggregate_generated")
+WATERFALLS = ("before_event_record", "before_metrics_written", "before_realtime_metrics_written", "before_aggregate_generated", "after_aggregate_generated")
 ACTIONS = ("on_engine_init", "on_engine_shutdown", "after_event_record", "after_metrics_written", "after_realtime_metrics_generated", "after_aggregation_written")
 COLLECTORS = ("on_get_metrics",)
 

@@ -16,7 +16,6 @@ from cubeline.functions.naming import safe_name
 from cubeline.model import CubeDef, DatasetQuery, FlatGroupsQuery, GroupsQuery, ReportQuery
 from cubeline.operators import rollup, shapes
 from cubeline.operators.fanout import accepts, metric_rows
-from cubeline.plans.cache import gaps
 from cubeline.plans.metadata import catalogue
 from cubeline.sources import events as ev
 from cubeline.sources import tables
@@ -476,47 +475,6 @@ def usage_snapshot(s, d):
     return realtime.usage(_hits(s, d), "user_id", "ts", F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00'"))
 
 
-@query("usage_by_status", f"WITH {ACTIVITY} SELECT {at('ts', 'day')} AS timestamp, band AS category, CAST(count(*) AS DOUBLE) AS value FROM act WHERE usr = '7' GROUP BY ALL")
-def usage_by_status(s, d):
-    return shapes.report(tables.activity(s, d), ReportQuery(EVERYTHING, "day", metric="CATEGORY", field="band", attribution=("user", "7")), "second", SCALE)
-
-
-@query("threshold_alert", f"WITH {ACTIVITY}, {_LONG} SELECT timestamp, value FROM long WHERE metric_key = 'value_sum' AND value > 5000")
-def threshold_alert(s, d):
-    return filters.apply_filter(_long(s, d).where("metric_key = 'value_sum'"), {"value": [{"operator": "GT", "value": 5000}]}).select("timestamp", "value")
-
-
-@query("batch_completed", f"SELECT DISTINCT {at('ts', 'hour')} AS timestamp FROM events WHERE {at('ts', 'hour')} > TIMESTAMP '2024-01-15 06:00:00'")
-def batch_completed(s, d):
-    return shapes.report(tables.activity(s, d), ReportQuery(EVERYTHING, "hour"), "minute", SCALE).select("timestamp").where("timestamp > TIMESTAMP_NTZ '2024-01-15 06:00:00'")
-
-
-@query("retention_partitions", f"SELECT CAST(floor(epoch_ms(date_trunc('second', ts)) / 86400000.0) AS BIGINT) AS idx, count(*) AS n FROM events WHERE floor(epoch_ms(date_trunc('second', ts)) / 86400000.0) >= floor(epoch_ms({_NOW} - INTERVAL 5 DAY) / 86400000.0) GROUP BY 1")
-def retention_partitions(s, d):
-    cube = CubeDef("r", "c", "hour", partitioned=True, partition_length=24)
-    rows = tables.activity(s, d).select("ts")
-    return rollup.kept_partitions(rows, cube, dt.datetime(2024, 1, 20, 12), 5).groupBy(rollup.partition_of(cube).alias("idx")).agg(F.count("*").alias("n"))
-
-
-@query("retention_events", f"SELECT CAST(event_id AS VARCHAR) AS uuid FROM events WHERE ts >= {_NOW} - INTERVAL 7 DAY")
-def retention_events(s, d):
-    return rollup.kept_events(tables.activity(s, d), dt.datetime(2024, 1, 20, 12), 7).select("uuid")
-
-
-@query("cache_partial_merge", f"SELECT {at('ts', 'day')} AS timestamp, {exact('value')} AS value FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
-def cache_partial_merge(s, d):
-    """The range in the pieces that a cache would hold and miss, put together again."""
-    want = (dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20))
-    have = [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5, 7, 30)), (dt.datetime(2024, 1, 9), dt.datetime(2024, 1, 12))]
-    e, us = tables.activity(s, d), dt.timedelta(microseconds=1)
-    held = [(max(a, want[0]), min(b, want[1])) for a, b in have]
-    out = None
-    for a, b in [*held, *gaps(want, held)]:
-        part = shapes.report(e, ReportQuery((a, b - us), "minute", metric="SUM", field="value"), "minute", SCALE)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(bucket(F.col("timestamp"), "day", out.schema["timestamp"].dataType).alias("timestamp")).agg(rollup.exact_sum(F.col("value"), SCALE).alias("value"))
-
-
 @query("report_metadata", "SELECT 'activity' AS source_id, 'event_type' AS kind, event_type AS name FROM events GROUP BY ALL UNION ALL SELECT 'activity', 'metric', event_type || '_count' FROM events GROUP BY ALL UNION ALL SELECT 'activity', 'metric', n FROM (VALUES ('value_sum'), ('k_sum')) v(n) UNION ALL SELECT 'activity', 'field', 'band'")
 def report_metadata(s, d):
     return catalogue(tables.activity(s, d))
@@ -591,3 +549,6 @@ def stream_ingest_report(s, d):
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """The all-metrics dataset by day, from raw events."""
     return _long(s, d)
+
+
+from cubeline import engine_queries  # noqa: E402, F401  adds the queries that go through an engine

@@ -42,14 +42,17 @@ def with_default_ts(ts):
 def dedupe(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One event for each (source_id, uuid), none that is stored already.
 
-    Of what is stored only the keys are read, and where the new keys are few they are sent to
-    that scan, so that history isn't shuffled for each batch.
+    Of what is stored only the keys are read.  Where the new events are known to be few, their
+    keys are sent to that scan, so that history isn't shuffled for each batch; else the keys
+    meet in one shuffle, which the removal of repeats shares.
     """
     key = ["source_id", "uuid"]
     out = new.dropDuplicates(key)
     if stored is None:
         return out
-    known = stored.select(*key).join(small(out.select(*key)), key, "left_semi")
+    known = stored.select(*key)
+    if size_of(new.select(*key)) <= MAX_BROADCAST:
+        known = known.join(F.broadcast(new.select(*key)), key, "left_semi")
     return out.join(known, key, "left_anti")
 
 
@@ -58,13 +61,18 @@ def already_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.join(new.select("source_id", "uuid").distinct(), ["source_id", "uuid"], "left_semi")
 
 
-#: Rows of a registry that may be broadcast; a longer one is joined by shuffling.
-MAX_BROADCAST = 100_000
+#: Bytes, by the optimiser's estimate, up to which a table may be broadcast; a larger one is joined by shuffling.
+MAX_BROADCAST = 8 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's bytes: of files and local rows it is near, of other sources it is huge."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """A hint to broadcast, if df is no longer than `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A hint to broadcast, if df is known to be small; no job is run for that."""
+    return F.broadcast(df) if size_of(df) <= most else df
 
 
 def unknown_types(events: DataFrame, types: DataFrame) -> DataFrame:
@@ -76,6 +84,19 @@ def known_types(events: DataFrame, types: DataFrame) -> DataFrame:
     return events.join(small(types.select("source_id", "event_type").distinct()), ["source_id", "event_type"], "left_semi")
 
 
+def with_type_names(events: DataFrame, types: DataFrame) -> DataFrame:
+    """Events that name their type by id, with its name: an event of an unknown type has none and goes.
+
+    events: event_type_id; types: source_id, event_type_id, event_type.
+    """
+    return events.join(small(types), ["source_id", "event_type_id"]).drop("event_type_id")
+
+
+def of_sources(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Events of registered sources, with the source's name and owners."""
+    return events.join(small(sources), "source_id")
+
+
 def require_types(events: DataFrame, types: DataFrame) -> DataFrame:
     """The events, if all of their types are registered."""
     if bad := unknown_types(events, types).select("source_id", "event_type").first():

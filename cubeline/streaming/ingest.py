@@ -78,6 +78,12 @@ def deduped(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stats(query: StreamingQuery) -> dict[str, float]:
-    """Rows and rates of the last progress report."""
+    """Rows and rates of the last progress report, and whether more waits."""
     p = query.lastProgress or {}
-    return {k: p.get(k, 0) or 0 for k in ("batchId", "numInputRows", "inputRowsPerSecond", "processedRowsPerSecond")}
+    out = {k: p.get(k, 0) or 0 for k in ("batchId", "numInputRows", "inputRowsPerSecond", "processedRowsPerSecond")}
+    return out | {"waiting": int(query.status.get("isDataAvailable", False))}
+
+
+def dead_letters(engine, quarantine: str) -> list[int]:
+    """The numbers of the batches that were put aside."""
+    return sorted(int(n.partition("=")[2]) for n in engine.store.names(f"{quarantine}/failed") if n.startswith("batch="))

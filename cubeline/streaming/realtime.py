@@ -25,8 +25,10 @@ def admitted(events: DataFrame, age_s: int, now: Column | None = None) -> DataFr
 
 def running_cells(stream: DataFrame, granularity: str, age: str = "5 minutes") -> DataFrame:
     """A stream of rollup cells, updated as events come; buckets leave the state once the watermark passes them."""
-    rows = metric_rows(stream.withWatermark("ts", age), granularity, kinds=("COUNT", "SUM", "CATEGORY", "COMPOUND_SUM", "LEAF_SUM"))
-    w = F.window("ts", f"{to_ms(granularity)} milliseconds")
+    # windows go by the raw time: what is computed from it carries no watermark, and would stay in the state for ever
+    raw = stream.withColumn("at", F.col("ts")).withWatermark("at", age)
+    rows = metric_rows(raw, granularity, kinds=("COUNT", "SUM", "CATEGORY", "COMPOUND_SUM", "LEAF_SUM"), carry=("at",))
+    w = F.window("at", f"{to_ms(granularity)} milliseconds")
     return rows.groupBy(w, *[d for d in DIMENSIONS if d != "ts"]).agg(F.sum("value").alias("value"))
 
 
@@ -74,14 +76,26 @@ def usage(hits: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
     return past.groupBy(F.col(key).alias("key")).agg(same("second").alias("this_second"), same("day").alias("this_day"), F.count("*").alias("total"))
 
 
+def usage_events(hits: DataFrame, key: str, ts: str, status_code: Column, path: Column, method: Column, source_id: str = "api") -> DataFrame:
+    """Requests as events of their own: type api_request, by owner, with the status in words and as a code."""
+    code = status_code.cast("int")
+    status = F.when(code < 400, "success").when(code == 429, "limited").otherwise("error")
+    owner = F.col(key).cast("string")
+    return hits.select(
+        F.sha2(F.concat_ws("|", owner, F.col(ts).cast("string"), *[F.col(c).cast("string") for c in hits.columns]), 256).alias("uuid"), F.lit(source_id).alias("source_id"), F.lit("api_request").alias("event_type"),
+        F.col(ts).alias("ts"), F.array(F.struct(F.lit("owner").alias("type"), owner.alias("value"))).alias("attributions"),
+        F.struct(status.alias("status"), code.cast("string").alias("statusCode"), path.alias("path"), method.alias("method"), owner.alias("owner")).alias("payload"),
+    )
+
+
 _COMPARE = {"GT": operator.gt, "GTE": operator.ge, "LT": operator.lt, "LTE": operator.le, "EQ": operator.eq}
 
 
 class Subscriber:
     """Watches the datasets of a report; told after each batch, it says what fires."""
 
-    def __init__(self, subscription: Subscription, send: Callable[[dict], None]):
-        self.s, self.send, self.last = subscription, send, None
+    def __init__(self, subscription: Subscription, send: Callable[[dict], None], last: dt.datetime | None = None):
+        self.s, self.send, self.last = subscription, send, last
 
     def check(self, dataset: DataFrame) -> list[dict]:
         """dataset: wide, of the current window or since the last check.  Each window fires once."""

@@ -29,7 +29,7 @@ def test_ingest_drains_and_recovers(spark, tmp_path):
     more = feed(spark, tmp_path / "in", [[(t("2024-01-01T12:00:00"), (10.0,))]])
     I.ingest(e, "src", more, str(tmp_path / "ck"), quarantine=str(tmp_path / "q")).awaitTermination()  # takes up where it was; the uuid is known
     assert [r.value for r in e.get_report("r", s).collect()] == [5.0]
-    assert set(I.stats(query)) == {"batchId", "numInputRows", "inputRowsPerSecond", "processedRowsPerSecond"}
+    assert set(I.stats(query)) == {"batchId", "numInputRows", "inputRowsPerSecond", "processedRowsPerSecond", "waiting"}
 
 
 def test_failing_batches_are_put_aside(spark, tmp_path):
@@ -38,6 +38,7 @@ def test_failing_batches_are_put_aside(spark, tmp_path):
     waits = []
     stream = feed(spark, tmp_path / "in", [[(t("2024-01-01T10:00:00"), (1.0,))]])
     I.ingest(e, "src", stream, str(tmp_path / "ck"), quarantine=str(tmp_path / "q"), attempts=4, sleep=waits.append).awaitTermination()
+    assert I.dead_letters(e, str(tmp_path / "q")) == [0]
     assert waits == [0.25, 0.5, 1.0] and spark.read.parquet(str(tmp_path / "q" / "failed")).first().error == "down"
     assert I.delays()[-1] == 0.25 * 2**13
 
