@@ -4,8 +4,8 @@ A text is lower-cased, everything but letters becomes a space, and runs of space
 features are the 4- and 5-grams that occur in it (present or not), hashed into 2**20 cells.
 For each cell r = log of the smoothed ratio between the shares of toxic and of clean texts
 that have it.  The cells that tell most (mutual information) are kept; a logistic regression
-with an L2 penalty is fitted on presence * r, until the gradient is `TOLERANCE` of what it was
-at the start.  A text's score is the probability it gives.
+with an L2 penalty is fitted on presence * r by Newton's method (each step by conjugate
+gradients), until the gradient is `TOLERANCE` of what it was at the start.  A text's score is the probability it gives.
 
 Training rows are labelled rows; `MAX_TRAIN` of them at most, those of the lowest hash of the
 doc_id.  The sample is bounded, so its doc_ids may be broadcast to find the texts, and one
@@ -34,8 +34,8 @@ MAX_TRAIN = 8_000
 CELLS = 8_192
 ORDERS = (4, 5)
 PENALTY = 1.0
-#: The fit ends when the gradient's length is under this share of its first (or of a millionth a row); if it isn't after so many rounds, the fit fails.
-TOLERANCE, ROUNDS = 1e-4, 20_000
+#: The fit ends when the gradient's length is under this share of its first (or of a millionth a row); if it isn't after so many Newton steps, the fit fails.
+TOLERANCE, ROUNDS = 1e-4, 200
 _SPACE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _GAP = re.compile(r"[\W\d_]+")
@@ -84,37 +84,65 @@ def fit(texts: list[str], toxic: np.ndarray, cells_kept: int = CELLS, penalty: f
     rows = [np.unique(k[k >= 0]) for k in (number[cells(t)] for t in texts)]
     col = np.concatenate(rows) if rows else none[0]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    val = r[kept][col]
+    rk = r[kept]
+    turned = np.argsort(col, kind="stable")
+    row_at, col_at = row[turned], col[turned]
+
+    def summed(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Sums of x by the sorted numbers `of`."""
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else none[0]
+        out = np.zeros(n)
+        if len(first):
+            out[of[first]] = np.add.reduceat(x, first)
+        return out
 
-    def forward(w):
-        return np.bincount(row, val * w[col], minlength=len(rows))
-
-    w, b = np.zeros(len(kept)), float(np.log(pos / neg))
     n = len(rows)
-    # Nesterov's method; the step is the inverse of the largest curvature, by power iteration
-    u = np.random.default_rng(0).random(len(kept))
-    for _ in range(20):
-        u = np.bincount(col, val * forward(u)[row], minlength=len(kept))
-        top = np.linalg.norm(u)
-        u /= max(top, 1e-12)
-    step = 1 / (0.25 * (top + n) + penalty)
-    mom_w, mom_b, k, first = w.copy(), b, 0, None
+    forward = lambda w: summed((rk * w)[col], row, n)
+    back = lambda e: rk * summed(e[row_at], col_at, len(kept))
+
+    def loss(w, b, z):
+        return float(np.logaddexp(0, z).sum() - z @ y + penalty / 2 * (w @ w))
+
+    w, b, first = np.zeros(len(kept)), float(np.log(pos / neg)), None
+    z = np.full(n, b)
     for _ in range(ROUNDS):
-        e = 1 / (1 + np.exp(-np.clip(forward(mom_w) + mom_b, -500, 500))) - y
-        gw, gb = np.bincount(col, val * e[row], minlength=len(kept)) + penalty * mom_w, e.sum()
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        gw, gb = back(p - y) + penalty * w, float((p - y).sum())
         long = np.sqrt(gw @ gw + gb * gb)
         first = max(long, 1e-6 * n) if first is None else first
         if long <= TOLERANCE * first:
-            return mom_b, kept, mom_w * r[kept]
-        vw, vb = mom_w - step * gw, mom_b - step * gb
-        # momentum that leads uphill starts anew
-        k = 0 if gw @ (vw - w) + gb * (vb - b) > 0 else k + 1
-        a = k / (k + 3)
-        mom_w, mom_b = vw + a * (vw - w), vb + a * (vb - b)
-        w, b = vw, vb
+            return b, kept, w * rk
+        sw, sb, sz = _step(gw, gb, p * (1 - p), forward, back, rk * rk * summed((p * (1 - p))[row_at], col_at, len(kept)) + penalty, penalty, long, first)
+        now, slope, t = loss(w, b, z), gw @ sw + gb * sb, 1.0
+        while loss(w + t * sw, b + t * sb, z + t * sz) > now + 1e-4 * t * slope and t > 1e-8:
+            t /= 2
+        w, b, z = w + t * sw, b + t * sb, z + t * sz
     raise RuntimeError(f"the fit did not converge in {ROUNDS} rounds")
 
 
+def _step(gw, gb, d, forward, back, diagonal, penalty, long, first):
+    """(change of weights, of the intercept, of the rows' sums): the Newton step, about, by conjugate gradients."""
+    sw, sb, sz = np.zeros(len(gw)), 0.0, np.zeros(len(d))
+    rw, rb = -gw, -gb
+    bottom = max(float(d.sum()), 1e-9)
+    yw, yb = rw / diagonal, rb / bottom
+    qw, qb = yw.copy(), yb
+    rho = rw @ yw + rb * yb
+    goal = min(0.1, np.sqrt(long / first)) * long
+    for _ in range(500):
+        qz = forward(qw) + qb
+        hw, hb = back(d * qz) + penalty * qw, float(d @ qz)
+        a = rho / (qw @ hw + qb * hb)
+        sw, sb, sz = sw + a * qw, sb + a * qb, sz + a * qz
+        rw, rb = rw - a * hw, rb - a * hb
+        if np.sqrt(rw @ rw + rb * rb) <= goal:
+            break
+        yw, yb = rw / diagonal, rb / bottom
+        rho, old = rw @ yw + rb * yb, rho
+        qw, qb = yw + rho / old * qw, yb + rho / old * qb
+    return sw, sb, sz
+
+
 def scorer(model: tuple[float, np.ndarray, np.ndarray]):
     b, kept, weights = model
     table = np.full(_SPACE, -1, np.int16 if len(kept) < 1 << 15 else np.int32)
