@@ -164,18 +164,40 @@ def dataset_long(rows: DataFrame, q: DatasetQuery, storage: str = "minute", scal
     return r.select(_bucketed(r, q, storage), key.alias("metric_key"), "value").groupBy("timestamp", "metric_key").agg(exact_sum(F.col("value"), scale).alias("value"))
 
 
+#: Columns of a wide dataset at most; with more metric keys, the map form serves.
+MAX_KEYS = 10_000
+
+
 def dataset_wide(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row a bucket, one column a metric key; null where a bucket lacks it.  Without `keys`, one more job finds them."""
-    p = long.groupBy("timestamp")
-    return (p.pivot("metric_key", keys) if keys else p.pivot("metric_key")).agg(F.first("value"))
+    """One row a bucket, one column a metric key; null where a bucket lacks it.
 
+    Without `keys`, one more job over `long` finds them; it should then be a table that is there, not one to be worked out.
+    """
+    if keys is None:
+        keys = sorted(r[0] for r in long.select("metric_key").distinct().limit(MAX_KEYS + 1).collect() if r[0] is not None)
+        if len(keys) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} metric keys: ask for fewer metrics, or take dataset_map")
+        if not keys:
+            return long.select("timestamp").distinct()
+    return long.groupBy("timestamp").pivot("metric_key", keys).agg(F.first("value"))
 
-def boolean_groups(events: DataFrame, q: DatasetQuery, storage: str = "minute") -> DataFrame:
-    """timestamp, $boolean_groups: the boolean facts of each bucket with their own times, sorted."""
+
+def dataset_map(long: DataFrame) -> DataFrame:
+    """timestamp, metrics: one row a bucket with a map of its metric keys, in one pass and for any number of keys."""
+    return long.groupBy("timestamp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_key", "value")))).alias("metrics"))
+
+
+def boolean_facts(events: DataFrame, q: DatasetQuery, storage: str = "minute") -> DataFrame:
+    """timestamp, name, value, at: the boolean facts of each bucket, one a row."""
     e = scoped(events, q, storage)
     names = payload_fields(e)["boolean"]
-    facts = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col("payload")[n].alias("value"), F.col("ts").alias("timestamp")) for n in names]), lambda f: f["value"].isNotNull()) if names else F.array().cast("array<struct<name:string,value:boolean,timestamp:timestamp>>")
-    return _gather(e.select(_bucketed(e, q, storage), F.explode(facts).alias("f")))
+    facts = F.array(*[F.struct(F.lit(n).alias("name"), F.col("payload")[n].alias("value"), F.col("ts").alias("at")) for n in names]) if names else F.array().cast("array<struct<name:string,value:boolean,at:timestamp>>")
+    return e.select(_bucketed(e, q, storage), F.inline(facts)).where("value is not null")
+
+
+def boolean_groups(events: DataFrame, q: DatasetQuery, storage: str = "minute") -> DataFrame:
+    """timestamp, $boolean_groups: the same, a sorted array for each bucket.  A bucket's facts come together in one row."""
+    return _gather(boolean_facts(events, q, storage).select("timestamp", F.struct("name", "value", F.col("at").alias("timestamp")).alias("f")))
 
 
 def boolean_groups_from_rows(rows: DataFrame, q: DatasetQuery, storage: str = "minute") -> DataFrame:
@@ -224,8 +246,12 @@ def groups_long(events: DataFrame, q: GroupsQuery, storage: str = "minute", scal
     flat = e.select(_bucketed(e, q, storage), "event_type", *[_text(e, d).alias(f"_d{i}") for i, d in enumerate(dims)], *[_number(e, s).alias(f"_s{i}") for i, s in enumerate(sums)])
     cols = [F.col(f"_d{i}") for i in range(len(dims))]
     sets = [[F.col("timestamp")], *[[F.col("timestamp"), c] for c in cols]]
-    aggs = [exact_sum(F.col(f"_s{i}"), scale).alias(f"{s}_sum") for i, s in enumerate(sums)]
-    aggs += [F.sum((F.col("event_type") == t).cast("long")).cast("double").alias(f"{t}_count") for t in counts]
+    # each combination of the fields is summed first: what the sets multiply is that, not events
+    exact = (lambda v: v) if scale is None else (lambda v: v.cast(f"decimal(20,{scale})"))
+    first = [F.sum(exact(F.col(f"_s{i}"))).alias(f"_s{i}") for i in range(len(sums))] + [F.sum((F.col("event_type") == t).cast("long")).alias(f"_n{i}") for i, t in enumerate(counts)]
+    flat = flat.groupBy("timestamp", *cols).agg(*first) if first else flat.select("timestamp", *cols).distinct()
+    aggs = [F.sum(f"_s{i}").cast("double").alias(f"{s}_sum") for i, s in enumerate(sums)]
+    aggs += [F.sum(f"_n{i}").cast("double").alias(f"{t}_count") for i, t in enumerate(counts)]
     g = flat.groupingSets(sets, F.col("timestamp"), *cols).agg(F.grouping_id().alias("_g"), *aggs)
     # grouping_id has a 0 bit for each column that a set keeps; a null that is grouped by isn't a group
     full = (1 << len(dims)) - 1

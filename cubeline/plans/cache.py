@@ -1,7 +1,10 @@
 """Result cache of reports and datasets: whole results by query, or chunks of time by query kind.
 
 Results are Parquet folders; what is kept here is where they are, of which range and since
-when.  Chunks hold storage buckets, the atoms of a time range, so a chunk is cut to a request
+when.  A result whose files are small (`IN_MEMORY` bytes) is also held as a local table after
+its first reading, so that it is there again without a job over files.  The files of entries that
+have expired or were replaced are deleted once no result that was handed out can still need them
+(`GRACE_S`).  Chunks hold storage buckets, the atoms of a time range, so a chunk is cut to a request
 exactly and gaps are half-open: nothing is counted twice.
 """
 
@@ -21,6 +24,11 @@ from pyspark.sql import functions as F
 
 from cubeline.model import Scope
 
+#: Bytes of files up to which a result is held in memory, and how many of such results are.
+IN_MEMORY, MOST_IN_MEMORY = 1 << 20, 256
+#: Seconds for which the files of entries that went are left.
+GRACE_S = 3_600
+
 Range = tuple[dt.datetime, dt.datetime]  # half-open
 _HOW = ("cache", "rebuild_cache")
 
@@ -58,6 +66,7 @@ class Entry:
     path: str
     made: float
     range: Range | None = None
+    local: DataFrame | None = None
 
 
 class ResultCache:
@@ -65,6 +74,8 @@ class ResultCache:
         self.spark, self.root, self.ttl, self.controlled, self.clock = spark, root, ttl_s, controlled, clock
         self.whole: dict[str, Entry] = {}
         self.chunks: dict[str, list[Entry]] = {}
+        self._gone: list[tuple[float, str]] = []
+        self._held = 0
 
     def _wanted(self, q: Scope) -> bool:
         return q.cache is True if self.controlled else q.cache is not False
@@ -73,12 +84,47 @@ class ResultCache:
         return self.ttl is None or self.clock() - e.made <= self.ttl
 
     def _keep(self, df: DataFrame, r: Range | None = None) -> Entry:
+        self._sweep()
         e = Entry(f"{self.root}/{uuid.uuid4().hex}", self.clock(), r)
         df.write.parquet(e.path)
         return e
 
     def _read(self, e: Entry) -> DataFrame:
-        return self.spark.read.parquet(e.path)
+        if e.local is not None:
+            return e.local
+        df = self.spark.read.parquet(e.path)
+        if self._held < MOST_IN_MEMORY and sum(s.getLen() for s in self._files(e.path)) <= IN_MEMORY:
+            e.local = self.spark.createDataFrame(df.toArrow())
+            self._held += 1
+            return e.local
+        return df
+
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.listStatus(p) if fs.exists(p) else []
+
+    def _drop(self, e: Entry) -> None:
+        self._held -= e.local is not None
+        e.local = None
+        self._gone.append((self.clock(), e.path))
+
+    def _sweep(self) -> None:
+        """Expired entries go, and the files of those that went long enough ago."""
+        for key in [k for k, e in self.whole.items() if not self._fresh(e)]:
+            self._drop(self.whole.pop(key))
+        for key, es in self.chunks.items():
+            for e in [e for e in es if not self._fresh(e)]:
+                es.remove(e)
+                self._drop(e)
+        left = []
+        for since, path in self._gone:
+            if self.clock() - since <= GRACE_S:
+                left.append((since, path))
+                continue
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._gone = left
 
     def get(self, q: Scope, make: Callable[[], DataFrame]) -> DataFrame:
         """The kept result of q, else a new one, which is kept."""
@@ -87,7 +133,10 @@ class ResultCache:
         key = query_key(q)
         e = self.whole.get(key)
         if e is None or q.rebuild_cache or not self._fresh(e):
-            e = self.whole[key] = self._keep(make())
+            new = self._keep(make())
+            if (old := self.whole.get(key)) is not None:
+                self._drop(old)
+            e = self.whole[key] = new
         return self._read(e)
 
     def get_chunked(self, q: Scope, want: Range, make: Callable[[Range], DataFrame]) -> DataFrame:
@@ -103,6 +152,9 @@ class ResultCache:
                 covered.append((a, b))
         if q.rebuild_cache:
             kept = [e for e in self.chunks.get(key, []) if e.range[1] <= want[0] or want[1] <= e.range[0]]
+            for e in self.chunks.get(key, []):
+                if e not in kept:
+                    self._drop(e)
         for r in gaps(want, covered):
             e = self._keep(make(r), r)
             rows = self._read(e)

@@ -92,6 +92,8 @@ class Engine:
         return alive
 
     def shutdown(self) -> None:
+        """Results that were handed out are no longer there afterwards."""
+        self.store.delete(f"{self.root}/results/{self.instance}")
         self.store.delete(f"{self.root}/_facts/heartbeat/{self.instance}")
         self.plugins.action("on_engine_shutdown", self)
 
@@ -425,10 +427,18 @@ class Engine:
     def _dataset(self, rows: DataFrame, q: DatasetQuery, storage: str) -> DataFrame:
         fine = lambda p: shapes.dataset_long(shapes.scoped_rows(rows, p), dataclasses.replace(p, granularity=storage), storage, self.scale)
         long = self._cached(q, storage, fine, lambda df: self._again(df, q, storage, ["metric_key"]))
-        wide = shapes.dataset_wide(long)
+        wide = shapes.dataset_wide(self._settled(long))
         facts = shapes.boolean_groups_from_rows(rows, q, storage)
         return shapes.ordered(wide.join(facts, "timestamp", "full"), q.sort_by, q.descending)
 
+    def _settled(self, long: DataFrame) -> DataFrame:
+        """A long result as a table that is there: its keys and its pivot are then not two times the work."""
+        if self.cache is not None:
+            return long
+        path = f"{self.root}/results/{self.instance}/{uuid.uuid4().hex}"
+        long.write.parquet(path)
+        return self.spark.read.schema(long.schema).parquet(path)
+
     def get_groups(self, report: str, q: GroupsQuery) -> DataFrame:
         q = self._asked(q, report)
         rows, storage = self._from_cubes(report, q)
@@ -508,7 +518,7 @@ class Engine:
     def realtime_dataset(self, report: str, q: DatasetQuery, buffer: DataFrame | None = None) -> DataFrame:
         q = self._asked(q, report)
         rows, storage = self.realtime_rows(report, q, buffer)
-        wide = shapes.dataset_wide(shapes.dataset_long(shapes.scoped_rows(rows, q), q, storage, self.scale))
+        wide = shapes.dataset_wide(self._settled(shapes.dataset_long(shapes.scoped_rows(rows, q), q, storage, self.scale)))
         return self._finish(shapes.ordered(wide.join(shapes.boolean_groups_from_rows(rows, q, storage), "timestamp", "full"), q.sort_by, q.descending), q)
 
     def realtime_groups(self, report: str, q: GroupsQuery, buffer: DataFrame | None = None) -> DataFrame:
@@ -538,7 +548,7 @@ class Engine:
     def _watched(self, report: str, s: Subscription, since: dt.datetime, now: dt.datetime) -> DataFrame:
         q = DatasetQuery((since, now), s.granularity, events=s.events, cache=False)
         rows, storage = self._from_cubes(report, q)
-        return shapes.dataset_wide(shapes.dataset_long(shapes.scoped_rows(rows, q), q, storage, self.scale))
+        return shapes.dataset_wide(self._settled(shapes.dataset_long(shapes.scoped_rows(rows, q), q, storage, self.scale)))
 
 
 def _wider(a: StructType, b: StructType) -> StructType:

@@ -244,10 +244,30 @@ def dataset_sorted(s, d):
 
 @query("dataset_boolean_groups", f"WITH {ACTIVITY} SELECT {at('ts', 'hour')} AS timestamp, 'big' AS name, big AS value, ts AS at FROM act")
 def dataset_boolean_groups(s, d):
+    q = replace(_D, granularity="hour")
+    return shapes.boolean_facts(tables.activity(s, d), q)
+
+
+@query("dataset_boolean_arrays", f"WITH {ACTIVITY} SELECT {at('ts', 'hour')} AS timestamp, 'big' AS name, big AS value, ts AS at FROM act")
+def dataset_boolean_arrays(s, d):
     q = replace(_D, granularity="hour")
     return shapes.boolean_groups(tables.activity(s, d), q).select("timestamp", F.inline("$boolean_groups").alias("name", "value", "at"))
 
 
+@query("dataset_map", f"WITH {ACTIVITY}, {_LONG} SELECT timestamp, metric_key, value FROM long")
+def dataset_map(s, d):
+    """Any number of metric keys, as a map for each bucket."""
+    return shapes.dataset_map(_long(s, d)).select("timestamp", F.explode("metrics").alias("metric_key", "value"))
+
+
+@query("dataset_wide_found", f"WITH {ACTIVITY}, {_LONG} SELECT timestamp, metric_key, value FROM long")
+def dataset_wide_found(s, d):
+    """The columns of a wide dataset found in the data."""
+    wide = shapes.dataset_wide(_long(s, d))
+    keys = [c for c in wide.columns if c != "timestamp"]
+    return wide.unpivot(["timestamp"], [F.col(f"`{k}`") for k in keys], "metric_key", "value").where("value is not null")
+
+
 @query("dataset_from_fanout", f"WITH {ACTIVITY}, {_LONG} SELECT timestamp, metric_key, value FROM long")
 def dataset_from_fanout(s, d):
     return shapes.dataset_long(shapes.dataset_rows(tables.activity(s, d), _D), _D, "minute", SCALE)
@@ -500,10 +520,16 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str, work: str) -> DataFrame:
-    """What a stream of aggregates comes to once all there is has been read; the last rows by the sink's own batches."""
-    name = "t" + uuid.uuid4().hex
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream comes to once all there is has been read: the last batch of a complete one, all batches of another.
+
+    A batch is a folder under its number, so one that is repeated replaces what it wrote.
+    """
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{work}/out/batch={number if mode == 'append' else 0}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{work}/out").select(*stream.columns)
 
 
 @query("stream_daily_sum", f"SELECT {at('ts', 'day')} AS timestamp, {exact('value')} AS value FROM events GROUP BY 1")

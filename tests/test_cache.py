@@ -46,6 +46,27 @@ def test_whole_results(spark, tmp_path):
     assert len(e.cache.whole) == 1
 
 
+def test_small_results_are_local_and_files_of_old_ones_go(spark, tmp_path, monkeypatch):
+    from cubeline.plans import cache as C
+
+    clock, made = Clock(), []
+    c = ResultCache(spark, str(tmp_path), ttl_s=10, clock=clock)
+    q = ReportQuery((t("2024-01-01T00:00:00"), t("2024-01-02T00:00:00")), "hour")
+    make = lambda: made.append(1) or spark.range(3).selectExpr("timestamp'2024-01-01 00:00:00' timestamp", "id value", "array(struct(id x)) a")
+    first = c.get(q, make)
+    assert "LocalTableScan" in first._jdf.queryExecution().executedPlan().toString() and first.schema.simpleString() == make().schema.simpleString()
+    assert sorted(c.get(q, make).collect()) == sorted(make().collect()) and len(made) == 3
+    clock.now = 11
+    c.get(q, make)
+    assert len(list(tmp_path.iterdir())) == 2  # what was handed out may still be read
+    clock.now = 11 + C.GRACE_S + 11
+    c.get(q, make)
+    assert len(list(tmp_path.iterdir())) == 2 and first.count() == 3
+    monkeypatch.setattr(C, "IN_MEMORY", 0)
+    large = c.get(dataclasses.replace(q, granularity="day"), make)
+    assert "FileScan" in large._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chunks(spark, tmp_path):
     e = engine(spark, tmp_path / "e", cubes=(("c", "hour"),), cache=ResultCache(spark, str(tmp_path / "cache")), partial_cache=True)
     e.record("src", events(spark, "value:double,items:double", [(t(f"2024-01-0{d}T10:00:00"), (v, i)) for d, v, i in ((1, 10.0, 1.0), (3, 30.0, 3.0), (5, 50.0, 5.0))]), 0)
