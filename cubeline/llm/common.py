@@ -42,11 +42,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cubeline/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and survives lost executors."""
+def few_files(df: DataFrame) -> DataFrame:
+    """Rows of a few bytes, dealt to a quarter of the session's shuffle partitions: a file each would be tiny."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends here and survives lost executors.
+
+    `narrow`: rows are a few bytes, and go to few files.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (few_files(df) if narrow else df).write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged
@@ -78,9 +86,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def partitions_for(spark: SparkSession, df: DataFrame, least: int = 12) -> int:
-    """As many partitions as the session's shuffles have, and no fewer than the scan has."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+#: Stored bytes of a range, about.
+RANGE_BYTES = 32 << 20
+
+
+def ranges_for(df: DataFrame, least: int = 12) -> int:
+    """How many ranges a table is dealt to, by the bytes its files have; where those aren't known, as many as shuffles have partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60
+    return max(least, -(-size // RANGE_BYTES) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Keys sampled for each bucket when boundaries are set, and in all.  They bound what the driver sees, not the rows processed.

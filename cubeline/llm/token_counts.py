@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import discard, fresh_path, path_exists, stage, whole_text
+from cubeline.llm.common import few_files, fresh_path, path_exists, stage, whole_text
 
 OVER = 1024
 #: Missing digests (of 40 bytes, with a doc_id) up to which they are broadcast.
@@ -157,21 +157,16 @@ def token_counts(
     version = tokenizer_digest(tokenizer)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     base = base.withColumn("digest", F.unhex(F.sha2(normalise(F.col("text")).cast("binary"), 256)))
-    keys = stage(base.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    keys = stage(base.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests", narrow=True)
 
     known = stored(spark, cache, version)
     missing = keys.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(known, F.col("digest") == known.content_digest, "left_anti")
-    missing = stage(missing.select(F.col("digest").alias("d"), "rep"), "missing")
+    missing = missing.select(F.col("digest").alias("d"), "rep")
     n = missing.count()
     if n:
         one = F.broadcast(missing) if n <= FEW else missing.hint("shuffle_hash")
         texts = base.join(one, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("d"))).select("digest", normalise(F.col("text")).alias("text"))
-        (
-            texts.mapInArrow(_encoder(tokenizer), "content_digest binary, n_tokens long")
-            .dropDuplicates(["content_digest"])  # a repeated row may have been encoded twice
-            .withColumn("tokenizer_digest", F.lit(version))
-            .write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
-        )
-    discard(missing)
+        made = texts.mapInArrow(_encoder(tokenizer), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])  # a repeated row may have been encoded twice
+        few_files(made).withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     now = stored(spark, cache, version)
     return keys.join(now, keys.digest == now.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
