@@ -259,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
     A round sends as many edges on as it got; what a vertex gathers is only its least
     neighbour, never a list.  Each round is written to the shared folder, and the one before it deleted.
     """
-    e = stage(edges.select("a", "b").where("a <> b"), "edges")
+    e = stage(edges.select("a", "b").where("a <> b"), "edges", narrow=True)
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -269,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: from each vertex, the lower neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        last, e = e, stage(small.distinct(), "stars")
+        last, e = e, stage(small.distinct(), "stars", narrow=True)
         n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(last)
         if (n, total) == before or not n:
@@ -279,14 +279,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(prints: DataFrame, hot: int) -> DataFrame:
     """fp, least (doc_id), root: one row for each fingerprint."""
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", narrow=True)
     forest = components(links(classes.select("fp"), hot))
     return classes.join(forest.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that is reachable)."""
-    prints = stage(fingerprints(docs, doc_id, text), "fingerprints")
+    prints = stage(fingerprints(docs, doc_id, text), "fingerprints", narrow=True)
     rooted = _rooted(prints, hot)
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
@@ -298,7 +298,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
 
     The groups are settled on fingerprints; texts move once, dealt by doc_id, to meet the ids that stay.
     """
-    prints = stage(fingerprints(docs, doc_id, text), "fingerprints")
+    prints = stage(fingerprints(docs, doc_id, text), "fingerprints", narrow=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     of_fp = prints.groupBy("fp").agg(first.alias("first"))
     rooted = _rooted(prints, hot).join(of_fp, "fp")
