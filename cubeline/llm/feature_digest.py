@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import long_key, ordered_buckets, partitions_for, whole_text
+from cubeline.llm.common import long_key, ordered_buckets, ranges_for, whole_text
 
 WINDOW = 64
 RUN = 64
@@ -349,6 +349,6 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank: n
     rank = rarity(docs, text) if rank is None else rank
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     key = F.concat(long_key(F.col("doc_id")), F.md5(F.col("text").cast("binary")))
-    n = partitions_for(docs.sparkSession, docs)
+    n = ranges_for(docs)
     dealt = ordered_buckets(base, key, n, before=False, after=True, wrap=True).select("_bucket", "_side", "doc_id", "text")
     return dealt.mapInArrow(lambda batches: _run(batches, rank), _OUT)

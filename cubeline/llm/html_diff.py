@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import long_key, ordered_buckets, partitions_for
+from cubeline.llm.common import long_key, ordered_buckets, ranges_for
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -357,6 +357,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     base = base.withColumns({"_host": host, "_path": path})
     key = F.concat_ws("\x00", F.concat("_host", F.lit("\x01"), "_path"), long_key(F.col("page_id")), F.md5(F.concat_ws("\x00", "url", "html").cast("binary")))
     mark = F.md5(F.concat_ws("\x00", "_host", "html").cast("binary"))
-    n = partitions_for(pages.sparkSession, pages)
+    n = ranges_for(pages)
     dealt = ordered_buckets(base, key, n, before=True, after=True, mark=mark)
     return dealt.select("_bucket", "_side", "page_id", "url", "html", "_host", "_path").mapInArrow(_run, ", ".join(map(" ".join, _OUT)))
