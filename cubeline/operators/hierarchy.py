@@ -37,25 +37,33 @@ def _at(level: int) -> Column:
 def tree(leaves: DataFrame, levels: list[str], q: FlatGroupsQuery, scale: int | None = None) -> DataFrame:
     """rank, id, $parent_id (array, null at a root), $group_by, $group_level, $is_group_root, the fields, <metric>, timestamp.
 
-    The numbering is a sort of all nodes in one task; nodes are what leaves aggregate to, and
-    the answer is read as a whole.
+    Nodes are numbered below each root apart, and begin where the roots before it end: what is sorted in one
+    task is the nodes of one root, and the list of roots.
     """
     n = nodes(leaves, levels, scale)
     word = (lambda c: c) if q.binary_order else (lambda c: F.collate(c, "UNICODE"))
     # ties in the collation are broken by bytes, then by level, so the order is total
     order = F.transform("node", lambda e: F.struct(word(e["x"]).alias("a"), e["x"].alias("b"), e["lvl"].alias("c")))
-    numbered = n.withColumn("rank", F.row_number().over(Window.orderBy(order)))
-    below = numbered.where(F.size("node") > 1).select("rank", "node", F.explode(F.sequence(F.lit(1), F.size("node") - 1)).alias("i")).select("rank", F.slice("node", 1, F.col("i")).alias("up"))
+    n = n.withColumn("_root", F.get("node", F.lit(0)))
+    before = Window.orderBy(word(F.col("_root.x")), "_root.x", "_root.lvl").rowsBetween(Window.unboundedPreceding, -1)
+    roots = n.groupBy("_root").agg(F.count("*").alias("_n")).select("_root", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # in pre-order, a node's ancestor of a depth is the last node of that depth before it
+    below = Window.partitionBy("_root").orderBy(order)
+    depth = F.size("node")
+    numbered = n.withColumn("_own", F.row_number().over(below))
+    seen = below.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ups = [F.last(F.when(depth == k, F.col("_own")), ignorenulls=True).over(seen) for k in range(1, len(levels))]
+    numbered = numbered.select("*", F.array(*ups).cast("array<long>").alias("_ups")).join(roots, "_root")
     name = lambda c: F.concat(F.lit(f"{q.id_prefix}-"), c.cast("string"))
-    ids = numbered.select(F.col("rank").alias("_r"), F.col("node").alias("up"))
-    parents = below.join(ids, "up").groupBy("rank").agg(F.array_sort(F.collect_list("_r")).alias("_p"))
+    rank = (F.col("_own") + F.col("_before")).cast("int")
+    parents = F.when(depth > 1, F.transform(F.slice("_ups", 1, F.greatest(depth - 1, F.lit(0))), lambda r: name(r + F.col("_before"))))
     last = F.element_at("node", -1)
     fields = [_at(i).alias(g) for i, g in enumerate(levels)]
     group = reduce(lambda w, i: w.when(F.col("_l") == i, levels[i]), range(len(levels)), F.when(F.lit(False), F.lit("")))
     return (
-        numbered.join(parents, "rank", "left").withColumn("_l", last["lvl"])
+        numbered.withColumn("_l", last["lvl"])
         .select(
-            "rank", name(F.col("rank")).alias("id"), F.transform("_p", name).alias("$parent_id"), group.alias("$group_by"), F.col("_l").alias("$group_level"),
+            rank.alias("rank"), name(rank).alias("id"), parents.alias("$parent_id"), group.alias("$group_by"), F.col("_l").alias("$group_level"),
             F.col("has_children").alias("$is_group_root"), *fields, F.col("value").alias(q.metric), "timestamp",
         ).orderBy("rank")
     )

@@ -123,6 +123,18 @@ def fanout_counts(s, d):
     return metric_rows(tables.activity(s, d)).groupBy("aggregation_type").agg(F.count("*").alias("n_rows"))
 
 
+@query(
+    "fanout_variant_table",
+    """WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+    SELECT event_type, 'SUM' AS aggregation_type, 'k' AS payload_field, sum(k) AS value FROM e GROUP BY 1
+    UNION ALL SELECT event_type, 'LEAF_SUM', 'k', sum(k) FROM e GROUP BY 1 UNION ALL SELECT event_type, 'COUNT', NULL, count(*) FROM e GROUP BY 1""",
+)
+def fanout_variant_table(s, d):
+    """The table's own JSON column as it stands, its kinds found value by value."""
+    e = s.read.parquet(f"{d}/events.parquet").select(F.lit("v").alias("source_id"), "event_type", "ts", F.array().cast(ev.ATTRIBUTIONS).alias("attributions"), F.parse_json("props").alias("payload"))
+    return metric_rows(e, "day").groupBy("event_type", "aggregation_type", "payload_field").agg(F.sum("value").alias("value"))
+
+
 @query(
     "fanout_variant",
     """WITH e AS (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
@@ -398,7 +410,6 @@ for _n, _spec, _where in (
     ("contains", {"o_orderpriority": [{"operator": "CONTAINS", "value": "HIGH"}]}, "contains(o_orderpriority, 'HIGH')"),
     ("not_contains", {"o_orderpriority": [{"operator": "NOT_CONTAINS", "value": "HIGH"}, {"operator": "NEQ", "value": 5}]}, "NOT contains(o_orderpriority, 'HIGH')"),
     ("type_mismatch", {"o_totalprice": [{"operator": "NEQ", "value": "x"}], "o_orderstatus": [{"OR": [{"operator": "GT", "value": 1}, {"operator": "EQ", "value": "P"}]}]}, "o_orderstatus = 'P'"),
-    ("missing_field", {"nothing": [{"operator": "NEQ", "value": 1}]}, "FALSE"),
     (
         "and_or", {"o_totalprice": [{"OR": [{"operator": "LT", "value": 20000}, {"AND": [{"operator": "GT", "value": 200000}, {"operator": "LTE", "value": 210000}]}]}], "o_orderstatus": [{"operator": "EQ", "value": "O"}]},
         "(o_totalprice < 20000 OR (o_totalprice > 200000 AND o_totalprice <= 210000)) AND o_orderstatus = 'O'",
@@ -407,6 +418,17 @@ for _n, _spec, _where in (
     query(f"filter_{_n}", f"SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders WHERE {_where}")(lambda s, d, spec=_spec: filters.apply_filter(_orders(s, d), spec))
 
 
+@query("filter_missing_field", "SELECT 'missing' AS field, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'no condition', count(*) FROM orders UNION ALL SELECT 'beside another', 0")
+def filter_missing_field(s, d):
+    """A field that rows lack fails every condition, alone or beside one that holds; no condition on it asks for nothing."""
+    some = {"missing": {"nothing": [{"operator": "NEQ", "value": 1}]}, "no condition": {"nothing": []}, "beside another": {"nothing": [{"operator": "EQ", "value": 1}], "o_totalprice": [{"operator": "GT", "value": 0}]}}
+    out = None
+    for name, spec in some.items():
+        n = filters.apply_filter(_orders(s, d), spec).agg(F.lit(name).alias("field"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("filter_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 def filter_limit_offset(s, d):
     o = _orders(s, d).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
@@ -490,6 +512,11 @@ def rate_limit_hits(s, d):
     return realtime.over_quota(_hits(s, d), "user_id", "ts", 2, "day").select("user_id", "event_id", "rejected")
 
 
+@query("rate_limit_hits_total", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hit FROM events")
+def rate_limit_hits_total(s, d):
+    return realtime.over_quota(_hits(s, d), "user_id", "ts", 50, None).select("user_id", "event_id", "hit")
+
+
 @query("usage_snapshot", f"SELECT user_id AS key, CAST(sum(CASE WHEN date_trunc('second', ts) = {_NOW} THEN 1 ELSE 0 END) AS BIGINT) AS this_second, CAST(sum(CASE WHEN date_trunc('day', ts) = date_trunc('day', {_NOW}) THEN 1 ELSE 0 END) AS BIGINT) AS this_day, count(*) AS total FROM events WHERE ts <= {_NOW} GROUP BY 1")
 def usage_snapshot(s, d):
     return realtime.usage(_hits(s, d), "user_id", "ts", F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00'"))

@@ -55,10 +55,22 @@ def every_nth_stream(stream: DataFrame, key: Column, n: int = 10) -> DataFrame:
 
 
 def over_quota(hits: DataFrame, key: str, ts: str, quota: int, granularity: str | None) -> DataFrame:
-    """hits with their number within the key's window (none: of all time) and whether that is over the quota."""
-    by = [F.col(key)] + ([bucket(F.col(ts), granularity)] if granularity else [])
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(ts, *[c for c in hits.columns if c not in (key, ts)]))
-    return hits.withColumn("hit", n).withColumn("rejected", F.col("hit") > quota if quota > 0 else F.lit(False))
+    """hits with their number within the key's window (none: of all time) and whether that is over the quota.
+
+    Of all time, hits are numbered day by day and each day begins where those before it end, so that a task
+    gets a key's day and never its history.
+    """
+    grain = granularity or "day"
+    at = bucket(F.col(ts), grain)
+    n = F.row_number().over(Window.partitionBy(key, at).orderBy(ts, *[c for c in hits.columns if c not in (key, ts)]))
+    out = hits.withColumn("hit", n)
+    if granularity is None:
+        days = hits.groupBy(F.col(key).alias("_key"), at.alias("_day")).agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select("_key", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        out = out.withColumn("_at", at).join(days, F.col(key).eqNullSafe(F.col("_key")) & F.col("_at").eqNullSafe(F.col("_day")))
+        out = out.select(*hits.columns, (F.col("hit") + F.col("_before")).alias("hit"))
+    return out.withColumn("rejected", F.col("hit") > quota if quota > 0 else F.lit(False))
 
 
 def window_counts(hits: DataFrame, key: str, ts: str, quota: int, granularity: str | None) -> DataFrame:
