@@ -1,6 +1,6 @@
 """The engine: ingest, rollups and queries over one folder of tables.
 
-Raw events are kept as `events/source_id=S/batch=N/day=D`, cells as `cubes/C/batch=S-N/partition_idx=K`,
+Raw events are kept as `events/source_id=S/batch=N/month=M`, cells as `cubes/C/batch=S-N/partition_idx=K`,
 what came in lately as `buffer/C/batch=S-N/until=T`.  All that is written for a batch replaces what the batch
 held, so a batch may be repeated at any time: after a crash, after retention, after a cube was built anew.
 Definitions and the few facts that say how folders are to be read are kept in the same root (`Store`), so an
@@ -109,14 +109,14 @@ class Engine:
         return f"{self.root}/events/source_id={source_id}"
 
     def _read_events(self, source_id: str, kind: StructType | None = None) -> DataFrame:
-        """The stored events of a source that are still hot, with `batch` and `day`; `kind`: a wider schema to read them by."""
+        """The stored events of a source that are still hot, with `batch` and `month`; `kind`: a wider schema to read them by."""
         stored = kind or StructType.fromJson(self.store.get(f"schema/{source_id}"))
-        df = self.spark.read.schema(stored.add("batch", "long").add("day", "date")).option("basePath", self._events_path(source_id)).parquet(self._events_path(source_id))
+        df = self.spark.read.schema(stored.add("batch", "long").add("month", "date")).option("basePath", self._events_path(source_id)).parquet(self._events_path(source_id))
         df = df.withColumn("source_id", F.lit(source_id))
         hot = self.store.get(f"hot/{source_id}")
         if hot is not None:
             edge = EPOCH + dt.timedelta(microseconds=hot)
-            df = df.where((F.col("day") >= F.lit(edge.date())) & (F.col("ts") >= F.lit(edge)))
+            df = df.where((F.col("month") >= F.lit(edge.date().replace(day=1))) & (F.col("ts") >= F.lit(edge)))
         return df
 
     def events(self, source_id: str | None = None) -> DataFrame:
@@ -130,19 +130,19 @@ class Engine:
             kind = _wider(kind, k)
         out = None
         for i in ids:
-            part = self._read_events(i, StructType(list(kind.fields))).drop("day")
+            part = self._read_events(i, StructType(list(kind.fields))).drop("month")
             out = part if out is None else out.unionByName(part)
         return out
 
     def _write_events(self, source_id: str, fresh: DataFrame, batch: int) -> DataFrame:
-        """Write a batch by days, in place of what it held; the batch as it is now stored."""
+        """Write a batch by months, in place of what it held; the batch as it is now stored."""
         kind = fresh.drop("source_id").schema
         known = self.store.get(f"schema/{source_id}")
         wider = kind if known is None else _wider(StructType.fromJson(known), kind)
         if known is None or wider.jsonValue() != known:
             self.store.put(f"schema/{source_id}", wider.jsonValue())
         mine = f"{self._events_path(source_id)}/batch={batch}"
-        fresh.drop("source_id").withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(mine)
+        fresh.drop("source_id").withColumn("month", F.trunc("ts", "month")).write.mode("overwrite").partitionBy("month").parquet(mine)
         return self.spark.read.schema(kind).parquet(mine).select(*kind.names, F.lit(source_id).alias("source_id"))
 
     def record(self, source_id: str, new: DataFrame, batch: int) -> DataFrame:
@@ -166,7 +166,7 @@ class Engine:
                 stored = self._read_events(source_id).where(F.col("batch") != batch)
                 days = self.registry.sources[source_id].dedupe_days
                 if days is not None and (first := staged.agg(F.min(F.to_date("ts"))).first()[0]) is not None:
-                    stored = stored.where(F.col("day") >= F.lit(first - dt.timedelta(days=days)))
+                    stored = stored.where((F.col("month") >= F.lit((first - dt.timedelta(days=days)).replace(day=1))) & (F.col("ts") >= F.lit(first - dt.timedelta(days=days))))
                 stored = stored.select("source_id", "uuid")
             kept = self._write_events(source_id, ev.dedupe(staged, stored), batch)
         finally:
@@ -331,7 +331,7 @@ class Engine:
     def apply_retention(self, now: dt.datetime) -> dict[str, list[int]]:
         """Drop what is no longer hot: raw events of sources and partitions of cubes, offloaded first if a cube says so.
 
-        Events before the edge count no longer from the moment its fact is put; the days before it are then
+        Events before the edge count no longer from the moment its fact is put; the months before it are then
         deleted as whole folders, and nothing is written again.  Batches keep their numbers, so one that is
         repeated still replaces its own.
         """
@@ -343,7 +343,7 @@ class Engine:
                     self.store.put(f"hot/{s.id}", _micros(edge))
                 for b in self.store.names(path):
                     for d in self.store.names(f"{path}/{b}") if b.startswith("batch=") else []:
-                        if d.startswith("day=") and d.partition("=")[2] < edge.date().isoformat():
+                        if d.startswith("month=") and d.partition("=")[2] < edge.date().replace(day=1).isoformat():
                             self._delete(f"{path}/{b}/{d}")
         gone = {}
         for c in self.registry.cubes.values():
