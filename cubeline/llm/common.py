@@ -86,15 +86,29 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-#: Stored bytes of a range, about.
-RANGE_BYTES = 32 << 20
+#: Stored bytes of a range, and of a scan's partition at least, about.
+RANGE_BYTES, PART_BYTES = 32 << 20, 16 << 20
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files behind a table, as the optimiser knows them; None where it doesn't."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
+def joined_parts(docs: DataFrame, least: int = 12) -> DataFrame:
+    """A scan whose partitions are small has them put together, without a shuffle: a task, a worker and a file for each would cost more than its rows.
+
+    Partitions of the usual size stay as they are.
+    """
+    size = stored_bytes(docs)
+    return docs if size is None else docs.coalesce(max(least, -(-size // PART_BYTES)))
 
 
 def ranges_for(df: DataFrame, least: int = 12) -> int:
     """How many ranges a table is dealt to, by the bytes its files have; where those aren't known, as many as shuffles have partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    known = size < 1 << 60
-    return max(least, -(-size // RANGE_BYTES) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = stored_bytes(df)
+    return max(least, -(-size // RANGE_BYTES) if size is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Keys sampled for each bucket when boundaries are set, and in all.  They bound what the driver sees, not the rows processed.

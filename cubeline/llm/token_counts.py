@@ -169,4 +169,5 @@ def token_counts(
         made = texts.mapInArrow(_encoder(tokenizer), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])  # a repeated row may have been encoded twice
         few_files(made).withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     now = stored(spark, cache, version)
-    return keys.join(now, keys.digest == now.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    counted = keys.join(now, keys.digest == now.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    return few_files(counted)
