@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import whole_text
+from cubeline.llm.common import joined_parts, whole_text
 
 BLOCK = 576
 OWNER = b"cubeline.payload"
@@ -431,7 +431,7 @@ def _build(batches):
 
 def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes of the text, media: the stored form of each text."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_build, "doc_id long, n_bytes long, media binary")
+    return joined_parts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_build, "doc_id long, n_bytes long, media binary")
 
 
 _FEATURES = [
