@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import whole_text
+from cubeline.llm.common import joined_parts, whole_text
 
 SPACE = "▁"
 #: Words kept in memory; none is longer than the longest piece.
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             ids = [array("i", m.encode(t)).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return joined_parts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -315,5 +315,5 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 same.append(m.decode(array("i", raw)) == t)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same)], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    base = joined_parts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     return base.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, round_trip boolean")
