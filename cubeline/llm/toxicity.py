@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import whole_text
+from cubeline.llm.common import joined_parts, whole_text
 
 MAX_TRAIN = 8_000
 CELLS = 8_192
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[fl
 def scores(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of `keep`, with score and predicted."""
     keep = tuple(k for k in keep if k.lower() not in ("score", "predicted", "_text"))
-    base = docs.select(*[F.col(k) for k in keep], whole_text(text).alias("_text"))
+    base = joined_parts(docs).select(*[F.col(k) for k in keep], whole_text(text).alias("_text"))
 
     def run(batches):
         score = scorer(model)
@@ -219,4 +219,4 @@ def accepted(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text:
             clean = [score(t or "") < 0.5 for t in b.column(names.index(text)).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return joined_parts(docs).mapInArrow(run, docs.schema)
