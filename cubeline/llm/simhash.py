@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import discard, free_names, stage, whole_text
+from cubeline.llm.common import discard, free_names, joined_parts, stage, whole_text
 
 LEFT = 31
 SEED = 42
@@ -78,7 +78,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a long), digest (MD5 of the text, to tell rows of one doc_id apart)."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long, digest binary")
+    return joined_parts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long, digest binary")
 
 
 # --- the covering code -------------------------------------------------------------------
