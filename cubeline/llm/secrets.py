@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeline.llm.common import whole_text
+from cubeline.llm.common import joined_parts, whole_text
 
 #: Texts, and distinct words and catches of them, that train the models at most.
 SAMPLE, STRINGS = 1_000, 20_000
@@ -219,7 +219,7 @@ def scan(docs: DataFrame, model: np.ndarray, doc_id: str = "doc_id", text: str =
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", *[x.split()[0] for x in _OUT.split(", ")]])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, f"doc_id long, {_OUT}")
+    return joined_parts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, f"doc_id long, {_OUT}")
 
 
 MARK = "[SECRET]"
@@ -259,4 +259,4 @@ def redacted(docs: DataFrame, model: np.ndarray, text: str = "text", threshold:
                 cols[size] = pa.array(n, b.column(size).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return joined_parts(docs).mapInArrow(run, docs.schema)
