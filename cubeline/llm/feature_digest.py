@@ -58,7 +58,7 @@ LEAST = 1.0
 STEPS = 100
 KINDS = STEPS * 6 + 1
 #: Bytes of texts that are worked on together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 _STRETCH = 2048
 _NONE = np.int64(1) << 62
 _EMPTY = 9000  # the rank of windows that carry nothing
